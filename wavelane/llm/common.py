@@ -116,6 +116,7 @@ class WordMemo:
         """A dict that holds every word of ``lists``."""
         if len(self.known) > self.limit:
             self.known.clear()
-        new = list(set().union(*lists) - self.known.keys())
+        known = self.known
+        new = [w for w in set().union(*lists) if w not in known]
         self.known.update(zip(new, self.make(new), strict=True))
         return self.known

@@ -8,26 +8,44 @@ import re
 from array import array
 from functools import cache
 
-from .common import WordMemo
-
 #: A blank between two other white-space characters, or at the end after one: there a blank does not begin a new piece.
 _JOINED_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
+#: Letters that NFC leaves alone and that have one lower-case letter: Latin up to U+024F, without the dotted capital I.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_TAIL = "!?.,;:#*$%&|()[]{}\"+-/=<>@^_~"
+
+
+class Memo(dict):
+    """What ``make`` gives for a key, kept until ``limit`` keys are held; then it starts anew, so memory is bounded."""
+
+    def __init__(self, make, limit: int = 900_000):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class Encoder:
     """``encode(texts)`` gives one ``bytes`` (unsigned 32-bit ids) per text, equal to encoding each whole text.
 
     Texts are encoded word by word where the tokenizer file shows that words are independent of each other:
-    either its pre-tokenizer drops white space, or a piece begins at each blank. The ids of each word come from
-    ``encode_batch`` once per worker while the memo holds it. Other tokenizers, and texts with runs of white
-    space that a piece may span, are encoded whole."""
+    either its pre-tokenizer drops white space, or a piece begins at each blank. A worker keeps the ids of the words
+    it met lately. Of a new word, a run of Latin letters is one piece for these pre-tokenizers and goes straight to
+    the tokenizer's BPE model, and so does what punctuation follows; any other word is encoded by the whole
+    tokenizer. Other tokenizers, and texts with runs of white space that a piece may span, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
@@ -38,23 +56,39 @@ class Encoder:
             self.kind = "blank_leads"
         elif steps == ["NFC", "Replace", "Lowercase"] and parts and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and parts[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+"):
             self.kind = "blank_dropped"
-        self.words = WordMemo(lambda ws: self._ids([" " + w for w in ws] if self.kind == "blank_leads" else ws))
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.symbols = {i: as_bytes(chr(i))[0][0] for i in [32, *range(65, 91), *range(97, 123), *range(0xC0, 0x250)]}
+        self.lead = self.symbols[32] if self.kind == "blank_leads" else ""
+        self.words, self.runs, self.tails = Memo(self._word), Memo(self._run, 600_000), Memo(self._whole, 50_000)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, letters: str) -> bytes:
+        if self.kind == "blank_dropped":
+            letters = letters.lower()
+        return array("I", [t.id for t in self.model.tokenize(self.lead + letters.translate(self.symbols))]).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        letters = word.rstrip(_TAIL)
+        if not _LETTERS.fullmatch(letters):
+            return self._whole(" " + word if self.lead else word)
+        return self.runs[letters] + self.tails[word[len(letters) :]] if len(letters) < len(word) else self.runs[letters]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "whole":
-            return self._ids(texts)
+        word = self.words.__getitem__
         if self.kind == "blank_dropped":
-            lists = [t.replace("\n", " ").split(" ") for t in texts]
-            known = self.words.of(lists)
-            return [b"".join([known[w] for w in ws]) for ws in lists]
-        odd = {i for i, t in enumerate(texts) if _JOINED_BLANK.search(t)}
-        lists = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        heads = iter(self._ids([t if i in odd else ws[0] for i, (t, ws) in enumerate(zip(texts, lists, strict=True))]))
-        known = self.words.of([ws[1:] for ws in lists])
-        return [next(heads) + b"".join([known[w] for w in ws[1:]]) for ws in lists]
+            return [b"".join(map(word, t.replace("\n", " ").split(" "))) for t in texts]
+        if self.kind == "whole":
+            return [self._whole(t) for t in texts]
+        out = []
+        for t in texts:
+            if _JOINED_BLANK.search(t):
+                out.append(self._whole(t))
+            else:
+                first, *rest = t.split(" ")
+                out.append(self._whole(first) + b"".join(map(word, rest)))
+        return out
 
 
 @cache
