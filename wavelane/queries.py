@@ -92,7 +92,7 @@ def queries() -> dict:
         "ctc_beam": lambda s, d: decode.decode(logits(s, d), F.broadcast(vocab(s)), beam_size=4),
         "token_topk": lambda s, d: decode.token_topk(logits(s, d)),
         "pcm_scale": lambda s, d: signal.pcm_scale(audio(s, d)),
-        "pre_emphasis": lambda s, d: cut(signal.pre_emphasis(audio(s, d)), "y", digits=9),
+        "pre_emphasis": lambda s, d: signal.pre_emphasis(audio(s, d)),
         "frame_count": lambda s, d: signal.frame_count(audio(s, d)),
         "frame_window": lambda s, d: cut(signal.frames(audio(s, d)), "v", digits=9),
         "hamming_table": lambda s, d: cut(signal.hamming_table(s), "w", digits=9),
@@ -182,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
   SELECT label AS clip, vec_id AS t, CAST(i - 1 AS INTEGER) AS token_id, row_number() OVER (PARTITION BY label, vec_id ORDER BY embedding[i] DESC, i) AS rank
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) WHERE rank <= 3""",
         "pcm_scale": f"WITH {_AUDIO} SELECT clip, pos, sample / 32768.0::DOUBLE AS x FROM audio",
-        "pre_emphasis": f"WITH {_EMPH} SELECT clip, pos, round(y, 9) + 0.0::DOUBLE AS y FROM emph",
+        "pre_emphasis": f"WITH {_EMPH} SELECT clip, pos, y FROM emph",
         "frame_count": f"WITH {_EMPH} SELECT clip, n_samples, CAST(n_frames AS BIGINT) AS n_frames FROM sizes",
         "frame_window": f"WITH {_FRAMES} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, i, round(v, 9) + 0.0::DOUBLE AS v FROM frames",
         "hamming_table": "SELECT CAST(i AS INTEGER) AS i, round(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 399), 9) AS w FROM (SELECT unnest(range(0, 400)) AS i)",
