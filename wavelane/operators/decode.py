@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPECIAL = ("<blank>", "<unk>", "<sos>", "<eos>")
-BY_TIME = Window.partitionBy("clip").orderBy("t")
 
 
 def argmax_tokens(logits: DataFrame, blank_id: int = 0, greedy: bool = True) -> DataFrame:
@@ -24,7 +23,7 @@ def argmax_tokens(logits: DataFrame, blank_id: int = 0, greedy: bool = True) ->
 
 def ctc_collapse(tokens: DataFrame, blank_id: int = 0) -> DataFrame:
     """Drops blanks and repeats of the step before; blanks count as a step before, so a-blank-a gives a twice."""
-    before = F.coalesce(F.lag("token_id").over(BY_TIME), F.lit(blank_id))
+    before = F.coalesce(F.lag("token_id").over(Window.partitionBy("clip").orderBy("t")), F.lit(blank_id))
     return tokens.withColumn("before", before).where((F.col("token_id") != blank_id) & (F.col("token_id") != F.col("before"))).drop("before")
 
 

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..profile import Profile
 
-IN_ORDER = Window.partitionBy("clip").orderBy("pos")
-
 
 def pcm_scale(samples: DataFrame) -> DataFrame:
     """x = sample / 32768."""
@@ -22,7 +20,7 @@ def pcm_scale(samples: DataFrame) -> DataFrame:
 
 def pre_emphasis(samples: DataFrame, alpha: float = 0.97) -> DataFrame:
     """y = x - alpha * previous x; the first sample stays. An empty clip gives nothing."""
-    before = F.coalesce(F.lag("x", 1).over(IN_ORDER), F.lit(0.0))
+    before = F.coalesce(F.lag("x", 1).over(Window.partitionBy("clip").orderBy("pos")), F.lit(0.0))
     return pcm_scale(samples).select("clip", "pos", (F.col("x") - F.lit(alpha) * before).alias("y"))
 
 

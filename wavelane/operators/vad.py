@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..profile import Profile
 
-CLIP = Window.partitionBy("clip")
-BY_FRAME = CLIP.orderBy("frame_idx")
+
+def by_clip(*order: str) -> WindowSpec:
+    """The rows of a clip; a function, for windows need a running session."""
+    return Window.partitionBy("clip").orderBy(*order) if order else Window.partitionBy("clip")
 
 
 def energy(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
@@ -37,15 +39,15 @@ def flags(samples: DataFrame, p: Profile = Profile(), scope: str = "clip") -> Da
         e = e.withColumn("one", F.lit(1)).join(F.broadcast(floor), "one").join(F.broadcast(head.select("clip", "frame_idx", F.lit(True).alias("calib"))), ["clip", "frame_idx"], "left")
         calib = F.coalesce("calib", F.lit(False))
     else:
-        frames = F.count(F.when(calib, 1)).over(CLIP)
-        e = e.withColumn("floor", F.when(frames >= p.calib_frames, F.avg(F.when(calib, F.col("energy"))).over(CLIP)))
+        frames = F.count(F.when(calib, 1)).over(by_clip())
+        e = e.withColumn("floor", F.when(frames >= p.calib_frames, F.avg(F.when(calib, F.col("energy"))).over(by_clip())))
     speech = ~calib & F.coalesce(F.col("energy") > F.lit(float(p.vad_factor)) * F.col("floor"), F.lit(False))
     return e.select("clip", "frame_idx", "energy", speech.alias("speech"))
 
 
 def runs(flagged: DataFrame) -> DataFrame:
     """Adds ``run``: the number of equal flags up to and with this frame."""
-    island = F.row_number().over(BY_FRAME) - F.row_number().over(Window.partitionBy("clip", "speech").orderBy("frame_idx"))
+    island = F.row_number().over(by_clip("frame_idx")) - F.row_number().over(Window.partitionBy("clip", "speech").orderBy("frame_idx"))
     rows = flagged.withColumn("island", island)
     return rows.withColumn("run", F.row_number().over(Window.partitionBy("clip", "speech", "island").orderBy("frame_idx"))).drop("island")
 
@@ -53,20 +55,20 @@ def runs(flagged: DataFrame) -> DataFrame:
 def latch(speech: Column, run: Column, p: Profile) -> Column:
     """1 from a long enough speech run on, until a long enough silence: a latch set and reset by events."""
     event = F.when(speech & (run >= max(1, p.start_frames)), 1).when(~speech & (run >= max(1, p.end_frames)), 0)
-    return F.coalesce(F.last(event, ignorenulls=True).over(BY_FRAME.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return F.coalesce(F.last(event, ignorenulls=True).over(by_clip("frame_idx").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
 def segments(samples: DataFrame, p: Profile = Profile(), scope: str = "clip") -> DataFrame:
     """(clip, seg_id, start_sample, end_sample): half-open; both ends dated back to the start of their run. A segment
     still open at the end stops at the clip's last sample, the dropped tail included."""
     rows = runs(flags(samples, p, scope)).withColumn("state", latch(F.col("speech"), F.col("run"), p))
-    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(BY_FRAME), F.lit(0))).where("state <> before")
+    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(by_clip("frame_idx")), F.lit(0))).where("state <> before")
     start = (F.col("frame_idx") + 1 - p.start_frames) * p.vad_frame
     end = (F.col("frame_idx") + 1 - p.end_frames) * p.vad_frame
-    rows = rows.withColumn("stop", F.lead(end).over(BY_FRAME)).where("state = 1").withColumn("start_sample", start)
+    rows = rows.withColumn("stop", F.lead(end).over(by_clip("frame_idx"))).where("state = 1").withColumn("start_sample", start)
     total = samples.groupBy("clip").agg(F.count("*").alias("total"))
     out = rows.join(total, "clip").withColumn("end_sample", F.coalesce("stop", "total")).where("end_sample > start_sample")
-    return out.select("clip", (F.row_number().over(CLIP.orderBy("start_sample")) - 1).cast("int").alias("seg_id"), F.col("start_sample").cast("long").alias("start_sample"), F.col("end_sample").cast("long").alias("end_sample"))
+    return out.select("clip", (F.row_number().over(by_clip("start_sample")) - 1).cast("int").alias("seg_id"), F.col("start_sample").cast("long").alias("start_sample"), F.col("end_sample").cast("long").alias("end_sample"))
 
 
 def segment_slice(samples: DataFrame, found: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def segment_concat(samples: DataFrame, found: DataFrame) -> DataFrame:
     """The segments of a clip one after the other, numbered anew: pos = offset of the segment + place in it.
 
     Offsets are running sums over a clip's segments, so samples aren't sorted."""
-    before = F.coalesce(F.sum(F.col("end_sample") - F.col("start_sample")).over(CLIP.orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.col("end_sample") - F.col("start_sample")).over(by_clip("seg_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = found.withColumn("shift", before - F.col("start_sample"))
     rows = segment_slice(samples, found).join(placed.select("clip", "seg_id", "shift"), ["clip", "seg_id"])
     return rows.select("clip", (F.col("pos") + F.col("shift")).cast("long").alias("pos"), "sample")
