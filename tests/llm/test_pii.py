@@ -1,0 +1,109 @@
+"""Surrogates: type, form, coreference, distinctness."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from wavelane.llm import pii
+
+DOCS = "doc_id long, text string, kind string, canon int, n_entities string"
+
+
+def rewritten(spark, texts, key="k"):
+    rows = [(i, t, "a", 1, "b") for i, t in enumerate(texts)]
+    got = pii.surrogates(spark.createDataFrame(rows, DOCS), key).orderBy("doc_id").collect()
+    return [r["text"] for r in got], [r["kinds"] for r in got], got
+
+
+CASES = [
+    ("write to Jane.Doe42@mail.example.com now", "email", r"write to [a-z]{4}\.[a-z]{3}\d\d@[a-z]{4}\.[a-z]{7}\.com now"),
+    ("call +1 555 010 2233 today", "phone", r"call \+1 \d{3} \d{3} \d{4} today"),
+    ("call (555) 010-2233 today", "phone", r"call \(\d{3}\) \d{3}-\d{4} today"),
+    ("from 192.168.10.7 came", "ip", r"from \d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3} came"),
+    ("ssn 123-45-6789.", "ssn", r"ssn \d{3}-\d{2}-\d{4}\."),
+    ("card 4111 1111 1111 1111 ok", "card", r"card 4\d{3} \d{4} \d{4} \d{4} ok"),
+    ("iban DE89 3704 0044 0532 0130 00 ok", "iban", r"iban DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d ok"),
+    ("password = hunter2hunter2 end", "secret", r"password = [a-z]{6}\d[a-z]{6}\d end"),
+    ("Mrs Mary Jones said", "name", r"Mrs [A-Z][a-z]+lia [A-Z][a-z]+ said"),
+    ("Mr John Smith said", "name", r"Mr [A-Z][a-z]+n [A-Z][a-z]+ said"),
+    ("г-жа Анна Петрова тут", "name", r"г-жа [А-Я][а-я]+лия [А-Я][а-я]+ тут"),
+]
+
+
+def test_types_and_forms(spark):
+    texts = [t for t, _, _ in CASES]
+    new, kinds, rows = rewritten(spark, texts)
+    for (old, kind, form), got, found in zip(CASES, new, kinds, strict=True):
+        assert found == [kind], (old, found)
+        assert re.fullmatch(form, got), (old, got)
+        assert got != old
+    assert all(r["n_entities"] == 1 for r in rows)
+
+
+def test_card_keeps_its_check_digit(spark):
+    (got,), _, _ = rewritten(spark, ["card 4111 1111 1111 1111 ok"])
+    digits = [int(c) for c in got if c.isdigit()]
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_coreference_over_spellings(spark):
+    new, _, _ = rewritten(spark, ["a@b-site.org and A@B-Site.ORG", "+1 555 010 2233 and +1-555-010-2233", "Mary Jones met Mrs Jones and Mary Brown", "mail a@b-site.org, x@b-site.org"])
+    first, second = new[0].split(" and ")
+    assert first == second.lower()
+    a, b = (re.sub(r"\D", "", x) for x in new[1].split(" and "))
+    assert a == b
+    m = re.fullmatch(r"(\S+) (\S+) met Mrs (\S+) and (\S+) (\S+)", new[2])
+    assert m[2] == m[3] and m[1] == m[4] and m[5] != m[2]
+    mails = re.findall(r"(\S+)@([\w.-]+)", new[3])
+    assert mails[0][1] == mails[1][1] == first.split("@")[1]
+    assert f"{mails[0][0]}@{mails[0][1]}" == first
+
+
+def test_distinct_stay_distinct(spark):
+    """Short forms have few surrogates, so collisions are sure to be met and solved."""
+    texts = [f"mail {a}{b}@x{c}.org" for a in "abcdefghij" for b in "abcdefghij" for c in "xyz"] + [f"ip 10.0.{i}.{j}" for i in range(8) for j in range(40)]
+    new, _, _ = rewritten(spark, texts)
+    assert len(set(new)) == len(texts)
+    assert not set(new) & set(texts)
+
+
+def test_more_entities_than_short_forms(spark):
+    """All one-letter mailboxes and most one-letter domains exist, so some surrogates must grow."""
+    texts = [f"mail {a}@q.org" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"mail me@{d}.net" for d in "abcdefghijklmnoprstuvw"]
+    new, _, _ = rewritten(spark, texts)
+    assert len(set(new)) == len(texts)
+    assert not set(new) & set(texts)
+
+
+def test_key_matters_and_reruns_agree(spark):
+    texts = ["Mr John Smith, 10.1.2.3, john@smith.example"]
+    assert rewritten(spark, texts, "a")[0] == rewritten(spark, texts, "a")[0] != rewritten(spark, texts, "b")[0]
+
+
+@pytest.mark.parametrize("text", ["", "plain words only.", "Version 1.2.3 of 2021-05-06", "3.14159 and 1,000,000", "a @ b", "e-mail me"])
+def test_clean_text_stays(spark, text):
+    new, kinds, _ = rewritten(spark, [text, None])
+    assert new == [text, None]
+    assert kinds == [[], []]
+
+
+def test_all_columns_stay_and_empty_table(spark):
+    _, _, rows = rewritten(spark, ["Mr John Smith"])
+    assert (rows[0]["kind"], rows[0]["canon"], rows[0]["n_entities"]) == ("a", 1, 1)
+    docs = spark.createDataFrame([], DOCS)
+    assert pii.surrogates(docs, "k").collect() == []
+
+
+def test_long_text_and_repeated_rows(spark):
+    long = "filler words here. " * 20_000 + "john@smith.example" + " more" * 1000
+    new, _, _ = rewritten(spark, [long, long])
+    assert new[0] == new[1] != long
+    assert len(new[0]) == len(long)
+
+
+def test_no_python_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "Mr John Smith", "a", 1, "b")], DOCS)
+    plan = pii.surrogates(docs, "k")._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)

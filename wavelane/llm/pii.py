@@ -128,10 +128,13 @@ def surrogate_chars(key: str, kind: Column, canon: Column, attempt: Column) -> C
         ip = F.concat_ws(".", *((_number(h, F.lit(12 * i), 254) + 1).cast("string") for i in range(4)))
         iban = F.concat(F.substring(plain, F.lit(1), F.lit(2)), F.substring(shaped, F.lit(3), n))
         out = F.when(k == "phone", phone).when(k == "card", card).when(k == "ip", ip).when(k == "iban", iban)
+        # Short mailboxes and domains can have fewer forms than there are entities: late attempts grow longer.
+        longer = F.concat(shaped, F.substring(h, F.lit(1), F.greatest(z["attempt"] - 7, F.lit(0))))
+        out = out.when(k.isin("email", "domain"), longer)
         return out.when(F.contains(k, F.lit("_")), _invented(k, h)).otherwise(shaped)
 
-    base = F.struct(kind.alias("k"), _digest(key, kind, canon, attempt).alias("h"), _alnum(canon).alias("plain"), F.length(F.regexp_extract(canon, r"\A\+(\d+) ", 1)).alias("keep"))  # a phone's country code stays
-    full = lambda z: F.struct(z["k"].alias("k"), z["h"].alias("h"), z["plain"].alias("plain"), z["keep"].alias("keep"), _shape(z["plain"], z["h"]).alias("shaped"))
+    base = F.struct(kind.alias("k"), _digest(key, kind, canon, attempt).alias("h"), _alnum(canon).alias("plain"), attempt.alias("attempt"), F.length(F.regexp_extract(canon, r"\A\+(\d+) ", 1)).alias("keep"))  # a phone's country code stays
+    full = lambda z: F.struct(z["k"].alias("k"), z["h"].alias("h"), z["plain"].alias("plain"), z["attempt"].alias("attempt"), z["keep"].alias("keep"), _shape(z["plain"], z["h"]).alias("shaped"))
     return _let(_let(base, full), use)
 
 
@@ -163,6 +166,16 @@ def _domain(m: Column) -> Column:
     return F.lower(F.regexp_extract(m, r"@(.*)\.[^.]*\z", 1))
 
 
+def _beyond(raw: Column, chars: Column) -> Column:
+    """What ``chars`` holds beyond one for each letter and digit of ``raw``."""
+    return F.substring(chars, F.length(_alnum(raw)) + 1, F.lit(99))
+
+
+def _mailbox(canon: Column, chars: Column) -> Column:
+    """The part before the @ of the surrogate of an address."""
+    return F.concat(_fill(F.regexp_extract(canon, r"\A([^@]*)@", 1), chars), _beyond(canon, chars))
+
+
 def canonical(kind: Column, m: Column) -> Column:
     """Canonical form of an entity other than a name: how it is written doesn't matter, only what it is."""
     digits = _alnum(m)
@@ -198,7 +211,7 @@ def replace_match(key: str, x: Column, attempts: Column | None) -> Column:
 
     def other(c: Column) -> Column:
         domain = _domain(m)
-        mail = F.concat(_fill(F.lower(F.regexp_extract(m, r"\A([^@]*)@", 1)), c), F.lit("@"), _let(chars(F.lit("domain"), domain), lambda d: _fill(domain, d)), F.regexp_extract(m, r"(\.[^.]*)\z", 1))
+        mail = F.concat(_mailbox(F.lower(m), c), F.lit("@"), _let(chars(F.lit("domain"), domain), lambda d: F.concat(_fill(domain, d), _beyond(domain, d))), F.regexp_extract(m, r"(\.[^.]*)\z", 1))
         value = _secret_value(m)
         secret = F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), _fill(value, c))
         return F.when(kind == "email", mail).when(kind == "secret", secret).when(kind == "ip", c).otherwise(_fill(m, c))
@@ -210,12 +223,14 @@ def attempts_needed(parts: DataFrame, key: str, rounds: int = 50) -> DataFrame |
     """(kind, canon, attempt) of the entities that must not use attempt 0; None if there are none.
 
     Each round compares the surrogates of all distinct entities with each other and with the entities themselves.
-    Of those that share one, the first canonical form keeps it unless it is some entity's own; the others try again."""
+    Of those that share one, the first canonical form keeps it unless it is some entity's own; the others try again.
+    Addresses are compared as they are written: within their domain, for whose surrogate is its own and no real one."""
     state, settled = parts.withColumn("attempt", F.lit(0)), True
     for _ in range(rounds):
         now = state.withColumn("s", surrogate_chars(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        now = now.withColumn("s", F.when(F.col("kind") == "email", F.concat(_mailbox(F.col("canon"), F.col("s")), F.regexp_extract("canon", r"(@.*)\z", 1))).otherwise(F.col("s")))
         made = now.select("kind", F.lower("s").alias("s"), "canon", F.lit(0).alias("real"))
-        real = now.select("kind", F.lower(F.when(F.col("kind") == "ip", F.col("canon")).otherwise(_alnum(F.col("canon")))).alias("s"), F.lit(None).cast("string").alias("canon"), F.lit(1).alias("real"))
+        real = now.select("kind", F.lower(F.when(F.col("kind").isin("ip", "email"), F.col("canon")).otherwise(_alnum(F.col("canon")))).alias("s"), F.lit(None).cast("string").alias("canon"), F.lit(1).alias("real"))
         clash = made.unionByName(real).groupBy("kind", "s").agg(F.count("canon").alias("n"), F.max("real").alias("real"), F.min("canon").alias("first"))
         clash = clash.where("n > 1 OR (n = 1 AND real = 1)")
         losers = written(made.join(clash.withColumnRenamed("real", "taken"), ["kind", "s"]).where("taken = 1 OR canon <> first").select("kind", "canon"), "pii-losers")
