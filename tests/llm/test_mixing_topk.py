@@ -76,7 +76,9 @@ def test_inclusion_is_by_probability(spark):
                 assert r["copies"] in (0, 1)
                 hits[r["doc_id"]] += r["copies"]
     assert hits.sum() == pytest.approx(6 * 20, abs=6)
-    assert 0 < (hits > 0).mean() > 0.8
+    # Of 40 documents at probability 1/2, six draws leave about one in 64 never taken, and one always taken.
+    assert (hits == 0).sum() <= 5
+    assert (hits == 6).sum() <= 5
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, v int, dim string"
