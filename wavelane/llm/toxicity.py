@@ -26,6 +26,8 @@ from .common import WordMemo, batches_of
 DECAY = 0.5
 #: Places of the second and third letter after the first.
 GAPS = tuple((j, k) for k in range(2, 5) for j in range(1, k))
+#: Weight by the third letter's place less 1; 0: no triple.
+WEIGHTS = np.array([0.0, *(DECAY ** (k - 2) for k in range(2, 5))])
 WIDTH = 32  # letters: 1-26 Latin, the others share 27-29; 30 and 31 mark a word's start and end
 LONGEST = 40
 #: So many of a text's words decide.
@@ -46,11 +48,13 @@ def letters(word: str) -> str:
 
 def codes_of(units: list[str]) -> np.ndarray:
     """Letter codes, one row a unit, between marks of its start and end; then 0. Empty units have no marks."""
-    out = np.zeros((len(units), max(map(len, units), default=0) + 6), np.int64)
-    for i, u in enumerate(units):
-        if u:
-            out[i, 1 : len(u) + 1] = np.frombuffer(u.encode(), np.uint8) & 31 if u.isascii() else [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 3 for c in u]
-            out[i, 0], out[i, len(u) + 1] = 30, 31
+    n = np.fromiter(map(len, units), np.int64, len(units))
+    out = np.zeros((len(units), n.max(initial=0) + 6), np.int32)
+    c = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    at = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n) + 1
+    out[np.repeat(np.arange(len(units)), n), at] = np.where((c >= ord("a")) & (c <= ord("z")), c - 96, 27 + c % 3)
+    held = np.flatnonzero(n)
+    out[held, 0], out[held, n[held] + 1] = 30, 31
     return out
 
 
@@ -58,14 +62,13 @@ def triples(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes and weights of each unit's triples (weight 0: none), and the norm of its feature vector."""
     c = codes_of(units)
     n = c.shape[1] - 4
-    code, weight = [], []
+    # A triple's code and which of WEIGHTS it has, in one number, so that one sort brings equal codes together.
+    key = []
     for j, k in GAPS:
         a, b, d = c[:, :n], c[:, j : n + j], c[:, k : n + k]
-        code.append((a * WIDTH + b) * WIDTH + d)
-        weight.append(np.where((a > 0) & (d > 0), DECAY ** (k - 2), 0.0))
-    code, weight = np.concatenate(code, 1), np.concatenate(weight, 1)
-    order = np.argsort(code, axis=1, kind="stable")
-    code, weight = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1)
+        key.append(((a * WIDTH + b) * WIDTH + d) * 4 + np.where((a > 0) & (d > 0), k - 1, 0))
+    key = np.sort(np.concatenate(key, 1), axis=1)
+    code, weight = key // 4, WEIGHTS[key % 4]
     # Sum of squares of the sums over equal codes, by running totals at the end of each run.
     total = np.cumsum(weight, 1)
     last = np.ones_like(code, bool)
@@ -117,17 +120,19 @@ class Scorer:
         self.empty = float(model.margins([""])[0])
 
     def _score(self, words: list[str]) -> list[float]:
-        out: list[float] = []
-        for i in range(0, len(words), 4096):
-            units, owner = [], []
-            for k, w in enumerate(words[i : i + 4096]):
-                for u in pieces(w):
-                    units.append(u)
-                    owner.append(k)
-            best = np.full(len(words[i : i + 4096]), -np.inf)
-            np.maximum.at(best, owner, self.model.margins(units))
-            out += best.tolist()
-        return out
+        units: dict[str, int] = {}
+        unit, owner = [], []
+        for k, w in enumerate(words):
+            for u in pieces(w):
+                unit.append(units.setdefault(u, len(units)))
+                owner.append(k)
+        margin, names = np.zeros(len(units)), sorted(units, key=len)  # units of like length share a narrow block
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            margin[[units[u] for u in part]] = self.model.margins(part)
+        best = np.full(len(words), -np.inf)
+        np.maximum.at(best, owner, margin[unit])
+        return np.round(best, 9).tolist()  # a word's margin does not depend on the words scored with it
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: the TOP largest margins of different words, and the logarithm of the number of words."""
