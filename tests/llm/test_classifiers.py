@@ -50,6 +50,16 @@ def test_gaps_and_signs():
     assert toxicity.words_of("you i d i o t now")[-1] == "idiot"
 
 
+def test_margins_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=toxicity.WIDTH**3), 0.1)
+    words = ["cat", "cat,", "Cät", "…", "x" * 95, "идиот", "a", "st.up1d", "\ud800b"]
+    alone = [toxicity.Scorer(model)._score([w])[0] for w in words]
+    assert toxicity.Scorer(model)._score(words) == pytest.approx(alone, abs=2e-9)
+    assert alone[0] == alone[1] == alone[2]
+    assert toxicity.Scorer(model).features(["", "\n"])[:, :-1].tolist() == [[0.1] * toxicity.TOP] * 2
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").collect()
