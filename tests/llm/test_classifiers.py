@@ -158,6 +158,42 @@ def test_licence_scan_and_inheritance(spark):
     assert licenses.scan(files.where("false")).collect() == []
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {v} of the License, or
+# (at your option) any later version."""
+WRAPPED = [
+    ("src/a.py", "import os\n\n" + GPL_HEADER.format(v=3) + "\n\nprint(os)", "GPL-3.0"),
+    ("src/b.py", GPL_HEADER.format(v=2) + "\n#\n# more about it", "GPL-2.0"),
+    ("src/c.c", "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */", "BSD-3-Clause"),
+    ("src/d.txt", "some prose that goes before\nThis work is licensed under the GNU General Public\nLicense, version 3.\nand other prose after", "GPL-3.0"),
+    ("src/e.txt", "the license\nof the driver\nwas read by the police and then\nhe drove on", None),
+]
+
+
+def test_wrapped_notices(spark):
+    files = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(WRAPPED)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own"] for r in licenses.scan(files).collect()}
+    assert [got[i] for i in range(len(WRAPPED))] == [w for _, _, w in WRAPPED]
+
+
+def test_whole_licence_texts_declare(spark):
+    """Each text as it is, and its body without title and last fifth, where the headers are, wrapped anew."""
+    import textwrap
+
+    rows = []
+    for f in sorted(licenses.TEXTS.glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        words = text.split()
+        body = "\n".join(textwrap.wrap(" ".join(words[10 : len(words) * 4 // 5]), 60))
+        rows += [(f"{k}/{f.stem}/{name}", t, f.stem) for k, (name, t) in enumerate([("LICENSE", text), ("COPYING", body)])]
+        rows += [(f"{k}/{f.stem}/deep/x.txt", "nothing here", f.stem) for k in range(2)]
+    rows.append(("p/LICENSE", "the house and the garden of the old man in the town, and the river that runs to the sea " * 20, None))
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()
+    assert [(r["path"], r["license"]) for r in got if r["license"] != r["want"]] == []
+    assert all(r["declares"] for r in got if r["want"] and not r["path"].endswith("x.txt"))
+
+
 def test_every_template_finds_itself(spark):
     rows = [(i, None, t, name) for i, (name, t) in enumerate(licenses.TEMPLATES)]
     got = licenses.scan(spark.createDataFrame(rows, "i int, path string, text string, want string")).collect()
