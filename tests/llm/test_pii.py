@@ -61,6 +61,22 @@ def test_coreference_over_spellings(spark):
     assert f"{mails[0][0]}@{mails[0][1]}" == first
 
 
+def test_no_length_leaves_a_rest(spark):
+    jwt = "eyJhbGciOi.J9-_" * 27  # 405 characters
+    hexa, sk, blob = "0a1b2c3d" * 20, "sk-" + "aB3" * 40, "Qx7/" * 500
+    names = ["Juan Carlos García López", "Dr Anna Maria Sophie Louise Schmidt", "Mary Ann Jane Smith"]
+    texts = [f"token = {jwt} end", f"PASSWORD={blob} end", f"Api_Key: {jwt} end", f"hash {hexa} end", f"key {sk} end", *(f"so {n} said" for n in names)]
+    new, kinds, _ = rewritten(spark, texts)
+    assert kinds == [["secret"]] * 3 + [["key"]] * 2 + [["name"]] * 3
+    for old, got in zip(texts[:5], new[:5], strict=True):
+        assert len(got) == len(old) and got.endswith(" end")
+        a, b = (x.split(" end")[0][12:] for x in (old, got))
+        assert not any(a[i : i + 12] in b for i in range(0, len(a) - 12, 12))
+    for n, got in zip(names, new[5:], strict=True):
+        left = set(n.split()) & set(got.split()) - {"Dr"}
+        assert not left and len(got.split()) == len(n.split()) + 2
+
+
 def test_distinct_stay_distinct(spark):
     """Short forms have few surrogates, so collisions are sure to be met and solved."""
     texts = [f"mail {a}{b}@x{c}.org" for a in "abcdefghij" for b in "abcdefghij" for c in "xyz"] + [f"ip 10.0.{i}.{j}" for i in range(8) for j in range(40)]

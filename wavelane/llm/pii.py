@@ -30,14 +30,14 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kind and pattern, in the order in which they are tried at each place. No capturing groups.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|api_key|apikey|API_KEY|access_key)\s{0,3}[=:]\s{0,3}[\"']?[\p{L}\p{N}+/_.-]{8,200}",
-    "key": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?=[TtSsPpAa])(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,3}[=:]\s{0,3}[\"']?[\p{L}\p{N}+/_.-]{8,}+",
+    "key": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? (?:{_CAP} ){{0,2}}{_CAP}|(?:{_GIVEN}) (?:{_CAP} ){{0,1}}{_CAP})(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_TITLE})\.?|(?:{_GIVEN})) {_CAP}(?: {_CAP})*+(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -88,9 +88,17 @@ def _shape(s: Column, h: Column) -> Column:
 
 
 def _fill(raw: Column, chars: Column) -> Column:
-    """``raw`` with its letters and digits, one after the other, replaced by ``chars``."""
-    at = lambda i: F.length(_alnum(F.substring(raw, F.lit(1), i + 1)))
-    return F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.substring(chars, at(i), F.lit(1))).otherwise(c)), "")
+    """``raw`` with its letters and digits, one after the other, replaced by ``chars``. Sorted by place, so that a very
+    long secret costs little more than its length."""
+
+    def use(z: Column) -> Column:
+        held = F.filter(z["raw"], lambda x: x["c"].rlike(r"[\p{L}\p{N}]"))
+        new = F.transform(held, lambda x, k: F.struct(x["i"].alias("i"), F.get(z["chars"], k).alias("c")))
+        rest = F.filter(z["raw"], lambda x: ~x["c"].rlike(r"[\p{L}\p{N}]"))
+        return F.array_join(F.transform(F.array_sort(F.concat(new, rest)), lambda x: x["c"]), "")
+
+    each = F.transform(F.split(raw, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    return _let(F.struct(each.alias("raw"), F.split(chars, "").alias("chars")), use)
 
 
 def _luhn(head: Column) -> Column:
