@@ -64,6 +64,19 @@ def test_encoding_equals_the_library(name):
         assert list(array("I", got)) == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_operators_encode_as_an_untouched_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    plain, mine = Tokenizer.from_file(tokenizer(name)), encoder(tokenizer(name))
+    assert mine.kind != "whole"
+    rng = random.Random(1)
+    alphabet = ["a", "B", "é", " ", " ", "\n", "'", ".", "1", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "x"]
+    texts = ["one two <|endoftext|> three", *TEXTS, *("".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(2000))]
+    for t, got in zip(texts, mine.encode(texts), strict=True):
+        assert list(array("I", got)) == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_pack_covers_each_id_once(spark):
     rng = random.Random(2)
     texts = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randint(0, 400)))) for i in range(120)]

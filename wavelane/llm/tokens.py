@@ -37,22 +37,29 @@ class Encoder:
     either its pre-tokenizer drops white space, or a piece begins at each blank. A worker keeps the ids of the words
     it met lately. Of a new word, a run of Latin letters is one piece for these pre-tokenizers and goes straight to
     the tokenizer's BPE model, and so does what punctuation follows; any other word is encoded by the whole
-    tokenizer. Other tokenizers, and texts with runs of white space that a piece may span, are encoded whole."""
+    tokenizer. Other tokenizers, and texts with runs of white space that a piece may span, are encoded whole.
 
-    def __init__(self, path: str):
+    With ``literal`` the name of an added token in a text is text like any other; else it is that token, as the
+    library has it, and a text that holds one is encoded whole."""
+
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [] if literal else spec.get("added_tokens") or []
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         parts = pre.get("pretokenizers", [])
         self.kind = "whole"
-        if not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        if not all(t.get("special") and not t.get("normalized") for t in added):
+            pass  # such a token may be found in a text in other spellings
+        elif not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "blank_leads"
         elif steps == ["NFC", "Replace", "Lowercase"] and parts and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and parts[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+"):
             self.kind = "blank_dropped"
@@ -76,6 +83,12 @@ class Encoder:
         return self.runs[letters] + self.tails[word[len(letters) :]] if len(letters) < len(word) else self.runs[letters]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.added and any(map(self.added.search, texts)):
+            rest = iter(self._encode([t for t in texts if not self.added.search(t)]))
+            return [self._whole(t) if self.added.search(t) else next(rest) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         word = self.words.__getitem__
         if self.kind == "blank_dropped":
             return [b"".join(map(word, t.replace("\n", " ").split(" "))) for t in texts]
@@ -93,5 +106,5 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(path)
+    """One encoder for each file and Python worker, equal to the library's own encoding."""
+    return Encoder(path, literal=False)
