@@ -43,6 +43,27 @@ def test_kernel_equals_the_plain_one():
             assert got[i, j] == pytest.approx(slow_kernel(a, b), abs=1e-5)
 
 
+@pytest.mark.parametrize("alphabet", ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصض", "的一是不了人我在有他这中大来上"])
+def test_kernel_tells_letters_of_any_script(alphabet):
+    rng = random.Random(2)
+    words = ["".join(rng.choices(alphabet, k=rng.randint(2, 12))) for _ in range(20)]
+    got = toxicity.gram(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert got[i, j] == pytest.approx(slow_kernel(a, b), abs=0.1)  # a few triples may share a place
+
+
+def test_cyrillic_insults():
+    """Words of as many letters that differ by multiples of 3 in each code point."""
+    rng = random.Random(3)
+    bad = ["идиот", "дурак", "придурок", "мерзавец", "подонок"]
+    apart = lambda w: "".join(chr(0x430 + (ord(c) - 0x430 + 3 * rng.randint(1, 9)) % 30) for c in w)
+    good = [apart(w) for w in bad for _ in range(8)]
+    model = toxicity.fit_machine(good, bad)
+    assert model.margins(bad).min() > 0 > model.margins(good).max()
+    assert model.margins(["идииот", "дуурак"]).min() > model.margins(good).max()
+
+
 def test_gaps_and_signs():
     assert toxicity.letters("!Cät5,") == "cats"
     near, far = slow_kernel("stupid", "stuxpid"), slow_kernel("stupid", "flower")

@@ -28,7 +28,10 @@ DECAY = 0.5
 GAPS = tuple((j, k) for k in range(2, 5) for j in range(1, k))
 #: Weight by the third letter's place less 1; 0: no triple.
 WEIGHTS = np.array([0.0, *(DECAY ** (k - 2) for k in range(2, 5))])
-WIDTH = 32  # letters: 1-26 Latin, the others share 27-29; 30 and 31 mark a word's start and end
+#: The table of triples has WIDTH**3 places, the first LATIN**3 for triples of Latin letters and marks.
+WIDTH = 64
+LATIN = 32  # letters: 1-26 Latin; 30 and 31 mark a word's start and end; from LATIN on, the others by code point
+OTHERS = 8191
 LONGEST = 40
 #: So many of a text's words decide.
 TOP = 4
@@ -52,12 +55,23 @@ def codes_of(units: list[str]) -> np.ndarray:
     out = np.zeros((len(units), n.max(initial=0) + 6), np.int32)
     c = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     at = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n) + 1
-    out[np.repeat(np.arange(len(units)), n), at] = np.where((c >= ord("a")) & (c <= ord("z")), c - 96, 27 + c % 3)
+    out[np.repeat(np.arange(len(units)), n), at] = np.where((c >= ord("a")) & (c <= ord("z")), c - 96, LATIN + c % OTHERS)
     held = np.flatnonzero(n)
     out[held, 0], out[held, n[held] + 1] = 30, 31
     return out
 
 
+def triple_code(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of triples in the table: those of Latin letters have their own, others share the rest by a hash."""
+    latin = (a * LATIN + b) * LATIN + d
+    other = (a >= LATIN) | (b >= LATIN) | (d >= LATIN)
+    if not other.any():
+        return latin
+    mixed = ((a.astype(np.uint64) << np.uint64(26)) | (b.astype(np.uint64) << np.uint64(13)) | d.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    hashed = LATIN**3 + (mixed >> np.uint64(33)) % np.uint64(WIDTH**3 - LATIN**3)
+    return np.where(other, hashed.astype(np.int32), latin)
+
+
 def triples(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes and weights of each unit's triples (weight 0: none), and the norm of its feature vector."""
     c = codes_of(units)
@@ -66,7 +80,7 @@ def triples(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = []
     for j, k in GAPS:
         a, b, d = c[:, :n], c[:, j : n + j], c[:, k : n + k]
-        key.append(((a * WIDTH + b) * WIDTH + d) * 4 + np.where((a > 0) & (d > 0), k - 1, 0))
+        key.append(triple_code(a, b, d) * 4 + np.where((a > 0) & (d > 0), k - 1, 0))
     key = np.sort(np.concatenate(key, 1), axis=1)
     code, weight = key // 4, WEIGHTS[key % 4]
     # Sum of squares of the sums over equal codes, by running totals at the end of each run.
@@ -155,10 +169,13 @@ class Scorer:
 def gram(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised kernel between two lists of units."""
 
+    places = np.unique(triples(b)[0])  # triples that ``b`` lacks don't count in a product with it
+
     def dense(units: list[str]) -> np.ndarray:
         code, weight, norm = triples(units)
-        out = np.zeros((len(units), WIDTH**3), np.float32)
-        np.add.at(out, (np.arange(len(units))[:, None], code), weight)
+        at = np.minimum(np.searchsorted(places, code), len(places) - 1)
+        out = np.zeros((len(units), len(places)), np.float32)
+        np.add.at(out, (np.arange(len(units))[:, None], at), np.where(places[at] == code, weight, 0.0))
         return out / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
 
     right = dense(b)
