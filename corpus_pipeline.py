@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelane.llm import mixing, packing, pii, quality, queries, similarity
-from wavelane.llm.common import fresh_path, sized_join, table, written
+from wavelane.llm.common import fresh_path, table
 
 #: No SQL expresses these stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -20,15 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the group's smallest doc_id. Documents without an id stay."""
-    groups = similarity.join(docs).where("doc_id IS NOT NULL")
-    go = written(groups.groupBy("doc_id").agg(F.min("class_id").alias("c"), F.count("*").alias("n")).where("c <> doc_id OR n > 1"), "dedup")
-    repeated = written(go.where("c = doc_id").select("doc_id"), "dedup-repeated")
-    kept = sized_join(docs, go.select("doc_id"), "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept
-    once = sized_join(docs, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(once.select(kept.columns))
+    """One document of each group, the first by doc_id; see :func:`similarity.one_of_each`."""
+    return similarity.one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,14 @@ def test_repeated_and_missing_ids_in_deduplication(spark):
     assert sorted((r["doc_id"] for r in got if r["doc_id"] is not None)) == [1, 3, 4, 5]
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    """Of an id with a copy and a text of its own, the copy goes and the other stays."""
+    rows = [(1, "a b c d e f g"), (5, "h i j k l m n"), (5, "o p q r s t u"), (6, "a b c d e f g"), (6, "v w x y z aa bb"), (None, "cc dd ee ff gg hh"), (None, "cc dd ee ff gg hh"), (None, "ii jj kk ll mm nn")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()))
+    assert got == sorted((k or 0, t) for k, t in {*rows} - {(6, "a b c d e f g")})
+
+
 def test_run_fills_sequences(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     filled: dict = {}

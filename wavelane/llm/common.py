@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 #: A run of characters that are neither blanks nor \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A table of at most so many rows may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A table of at most so many rows and bytes (of its rows as JSON) may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if the executors run
+    in this very process (as in tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wavelane-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -46,13 +50,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, by a count that stops there."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes; the second is summed only if the first holds."""
+    if df.count() > rows:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0) <= size
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts ``right`` if a count shows at most ``rows`` rows; else a shuffled join, whose hot keys adaptive execution splits."""
+    """Broadcasts ``right`` (a written table, or cheap to count) if it is :func:`small`; else a shuffled join, whose hot
+    keys adaptive execution splits."""
     return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
 
 

@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized_join, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (a, b: any sortable type) to (node, root): the smallest node of its component, for nodes with edges.
 
-    Each round links every node's larger neighbours, then its smaller ones, to its smallest (a minimum by
-    aggregation, then an equi-join on the node); the number of edges never grows and the rounds grow with the
-    logarithm of the longest path. Each round is a written table, and a fingerprint of the edges tells when
-    nothing changed."""
+    Each round links every node's larger neighbours, then its smaller ones, to its smallest; the number of edges never
+    grows and the rounds grow with the logarithm of the longest path. The smallest neighbours are sums of partial
+    minima in a table of their own with a row a node, so that in the join back a node with very many edges is broadcast
+    or split by adaptive execution. It ends when the edges are stars: each node linked to one that is linked to none."""
 
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.select(F.col("a").alias("n"), F.col("b").alias("m"))
         both = both.unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("m"))) if larger else both
-        low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        linked = both.join(low, "n").where("m > n" if larger else "true").select(F.col("m").alias("a"), F.col("low").alias("b"))
+        low = written(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")), "cc-low")
+        linked = sized_join(both, low, "n").where("m > n" if larger else "true").select(F.col("m").alias("a"), F.col("low").alias("b"))
         if not larger:
             linked = linked.unionByName(low.select(F.col("n").alias("a"), F.col("low").alias("b")))
-        return linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return normal(linked)
 
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    mark = None
+    def normal(e: DataFrame) -> DataFrame:
+        return written(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+
+    def settled(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up")))
+        return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 OR ups = 1 AND low = 0").isEmpty()
+
+    now = normal(edges)
     for _ in range(rounds):
-        now = written(star(star(now, True), False), "cc")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        now = star(star(now, True), False)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
