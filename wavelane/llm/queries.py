@@ -101,5 +101,46 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, d.class_id, coalesce(k.n, 0) AS n_links
 FROM (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id) d LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) k ON k.a = d.doc_id
+""",
+    "op4_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('s' || source, '-') AS key, md5(coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), rows AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key, digest) - 1 AS nth FROM d
+), s AS (SELECT source, key, CAST(sum(size) AS BIGINT) AS source_size, list_extract([1.0::DOUBLE, 2, 3], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)) AS w FROM d GROUP BY source, key
+), c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS full_at FROM s
+), f AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS part
+  FROM c WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT key, source_size, CASE WHEN l IS NULL THEN cap ELSE least(cap, l * w) END AS target
+  FROM f, (SELECT (SELECT part FROM f WHERE part <= full_at ORDER BY full_at, source NULLS LAST LIMIT 1) AS l)
+), g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS certain FROM t
+), z AS (
+  SELECT key, size, count(*) AS n, any_value(greatest(0, target - certain * source_size)) AS needs FROM rows JOIN g USING (key) WHERE size > 0 GROUP BY key, size
+), r0 AS (
+  SELECT *, (needs - coalesce(sum(size * n) OVER (PARTITION BY key ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(CAST(size AS DOUBLE) * size * n) OVER (PARTITION BY key ORDER BY size ROWS UNBOUNDED PRECEDING) AS rate FROM z
+), r1 AS (SELECT key, arg_max(rate, size) AS rate FROM r0 WHERE rate >= 0 AND rate * size <= 1 GROUP BY key
+), p AS (
+  SELECT key, size, n, CASE WHEN size * r1.rate < 1 THEN size * r1.rate ELSE 1.0::DOUBLE END AS chance,
+         (len(bin(size)) - 1) * 4 + CAST(size * 4 // (1::BIGINT << (len(bin(size)) - 1)) AS INTEGER) - 4 AS class FROM z LEFT JOIN r1 USING (key)
+), due AS (SELECT key, class, sum(chance * n) AS due FROM p WHERE chance < 1 GROUP BY key, class
+), upto AS (
+  SELECT key, class, floor(sum(due) OVER (PARTITION BY key ORDER BY class ROWS UNBOUNDED PRECEDING)
+    + (CAST('0x' || substr(md5('11|start|' || key), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS upto FROM due
+), takes AS (SELECT key, class, upto - coalesce(lag(upto) OVER (PARTITION BY key ORDER BY class), 0) AS take FROM upto
+), u AS (
+  SELECT rows.*, g.source_size, g.target, g.certain, coalesce(p.chance, 0) AS chance, p.class,
+    (CAST('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || rows.key || '|' || digest || '|' || nth), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM rows JOIN g USING (key) LEFT JOIN p ON p.key = rows.key AND p.size = rows.size
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY key, class, chance > 0 AND chance < 1
+    ORDER BY CASE WHEN chance > 0 AND chance < 1 THEN u / (1 - u) / (chance / (1 - chance)) END, doc_id NULLS FIRST, digest, nth) AS place FROM u
+), m AS (
+  SELECT o.*, certain + CASE WHEN chance = 1 OR chance > 0 AND chance < 1 AND place <= take THEN 1 ELSE 0 END AS copies
+  FROM o LEFT JOIN takes ON takes.key = o.key AND takes.class = o.class
+)
+SELECT doc_id, size, source_size, target, chance, CAST(copies AS INTEGER) AS copies, CAST(copies * size AS BIGINT) AS taken FROM m
 """,
 }
