@@ -15,81 +15,123 @@ from wavelane.llm import licenses, queries, toxicity, urls
 SF = "/root/testdata/sf0.01"
 
 
+def slow_features(u: str) -> dict:
+    """Triples of symbols in order within a span of five, each weighted by DECAY to the symbols skipped."""
+    out: dict = {}
+    for i in range(len(u)):
+        for k in range(2, 5):
+            for j in range(1, k):
+                if i + k < len(u):
+                    t = (u[i], u[i + j], u[i + k])
+                    out[t] = out.get(t, 0) + toxicity.DECAY ** (k - 2)
+    return out
+
+
 def slow_kernel(a: str, b: str) -> float:
-    """Sum over common triples of letters, each weighted by DECAY to the letters skipped, with marks at both ends."""
+    """Sum over common triples, divided by the norms of units of these lengths whose triples all differ."""
+    x, y = slow_features(a), slow_features(b)
+    norm = lambda n: max(1e-9, sum(toxicity.DECAY ** (2 * (k - 2)) for i in range(n) for k in range(2, 5) for j in range(1, k) if i + k < n)) ** 0.5
+    return sum(v * y.get(t, 0) for t, v in x.items()) / (norm(len(a)) * norm(len(b)))
+
+
+def unit(text: str) -> np.ndarray:
+    return toxicity.symbols(text)
 
-    def features(u):
-        u = "\x01" + u + "\x02"
-        out: dict = {}
-        for i in range(len(u)):
-            for k in range(2, 5):
-                for j in range(1, k):
-                    if i + k < len(u):
-                        t = (u[i], u[i + j], u[i + k])
-                        out[t] = out.get(t, 0) + toxicity.DECAY ** (k - 2)
-        return out
 
-    x, y = features(a), features(b)
-    dot = lambda p, q: sum(v * q.get(t, 0) for t, v in p.items())
-    return dot(x, y) / max(1e-9, (dot(x, x) * dot(y, y)) ** 0.5)
+def spelled(text: str) -> str:
+    """Symbols as characters, so that the plain kernel can use them."""
+    return "".join(chr(0x4000 + c) for c in unit(text).tolist())
 
 
 def test_kernel_equals_the_plain_one():
     rng = random.Random(1)
-    words = ["".join(rng.choices("abcxyz", k=rng.randint(1, 12))) for _ in range(30)]
-    got = toxicity.gram(words, words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
-            assert got[i, j] == pytest.approx(slow_kernel(a, b), abs=1e-5)
+    texts = [" ".join("".join(rng.choices("abcxyz", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 4))) for _ in range(30)]
+    got = toxicity.gram(list(map(unit, texts)), list(map(unit, texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert got[i, j] == pytest.approx(slow_kernel(spelled(a), spelled(b)), abs=1e-9)
 
 
-@pytest.mark.parametrize("alphabet", ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصض", "的一是不了人我在有他这中大来上"])
+@pytest.mark.parametrize("alphabet", ["абвгдежзиклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصض", "的一是不了人我在有他这中大来上"])
 def test_kernel_tells_letters_of_any_script(alphabet):
     rng = random.Random(2)
     words = ["".join(rng.choices(alphabet, k=rng.randint(2, 12))) for _ in range(20)]
-    got = toxicity.gram(words, words)
+    got = toxicity.gram(list(map(unit, words)), list(map(unit, words)))
     for i, a in enumerate(words):
         for j, b in enumerate(words):
-            assert got[i, j] == pytest.approx(slow_kernel(a, b), abs=0.1)  # a few triples may share a place
-
-
-def test_cyrillic_insults():
-    """Words of as many letters that differ by multiples of 3 in each code point."""
+            assert got[i, j] == pytest.approx(slow_kernel(spelled(a), spelled(b)), abs=0.1)  # a few triples may share a place
+
+
+def test_margins_equal_the_plain_sum_over_landmarks():
+    """A text's window margins are the machine's weights over its landmarks times the plain kernel, plus the bias."""
+    rng = np.random.default_rng(6)
+    marks = ["pathetic loser", "stupid", "moron and trash", "walk of the river"]
+    beta = rng.normal(size=len(marks))
+    table = np.zeros(toxicity.WIDTH**3)
+    row, code, weight = toxicity.triples(list(map(unit, marks)))
+    np.add.at(table, code, beta[row] * weight)
+    model = toxicity.Model(table, 0.25)
+    for text in ("you stupid moron, walk", "a b", "", "x" * 95 + " losers", "Идиот stu.pid ñu", " ".join(["the river"] * 40)):
+        y = unit(text)
+        at = toxicity.cuts(y)
+        for m, found in zip(toxicity.SPANS, model.windows(y, at), strict=True):
+            want = []
+            for a, b in zip(at, at[m:], strict=False):
+                u = "".join(chr(0x4000 + c) for c in y[a : b + 1].tolist())
+                want.append(0.25 + sum(w * slow_kernel(u, spelled(x)) for w, x in zip(beta, marks, strict=True)))
+            assert found == pytest.approx(want, abs=1e-6)
+
+
+def test_margins_do_not_depend_on_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=toxicity.WIDTH**3), 0.1)
+    text = " ".join("".join(rng.choice(list("abcdé…x1"), rng.integers(1, 90 if k % 7 == 0 else 9))) for k in range(300))
+    y = unit(text)
+    want = model.windows(y, toxicity.cuts(y))
+    for chunk in (1, 50, 333):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        for a, b in zip(model.windows(y, toxicity.cuts(y)), want, strict=True):
+            assert a == pytest.approx(b)
+    assert model.features(["", "\n"])[:, :-1].tolist() == [[0.1] * (toxicity.TOP + len(toxicity.SPANS) - 1)] * 2
+
+
+def test_gapped_insults_of_any_script():
+    """Learned from short stretches of labelled texts; found with letters, dots or blanks put in, never in clean ones."""
     rng = random.Random(3)
-    bad = ["идиот", "дурак", "придурок", "мерзавец", "подонок"]
-    apart = lambda w: "".join(chr(0x430 + (ord(c) - 0x430 + 3 * rng.randint(1, 9)) % 30) for c in w)
-    good = [apart(w) for w in bad for _ in range(8)]
+    insults = ["идиот", "придурок", "мерзавец", "moron", "worthless", "ηλίθιος"]
+    plain = ["река", "письмо", "деревня", "учитель", "river", "letter", "teacher", "village", "ποταμός", "δάσκαλος", "morning", "worth", "идея", "придумать"]
+    line = lambda: " ".join(rng.choices(plain, k=2))
+    bad = [unit(rng.choice([f"{w} {line()}", f"{line()} {w}", w])) for w in insults for _ in range(12)]
+    good = [unit(rng.choice([line(), rng.choice(plain), f"{line()} {line()}"])) for _ in range(200)]
     model = toxicity.fit_machine(good, bad)
-    assert model.margins(bad).min() > 0 > model.margins(good).max()
-    assert model.margins(["идииот", "дуурак"]).min() > model.margins(good).max()
-
-
-def test_gaps_and_signs():
-    assert toxicity.letters("!Cät5,") == "cats"
-    near, far = slow_kernel("stupid", "stuxpid"), slow_kernel("stupid", "flower")
-    assert near > 0.5 > far
-    assert toxicity.words_of("you i d i o t now")[-1] == "idiot"
+    clean = max(model.margin(f"{line()} {line()}") for _ in range(50))
+    for text in ("идиот", "и.д.и.о.т", "и д и о т", "придууурок", "при дурок", "mоr on moron", "w0rthless", "wor th less", "мерз-авец", "ηλιθιος"):
+        assert model.margin(f"{line()} {text} {line()}") > clean, text
+    assert clean < 0
 
 
-def test_margins_do_not_depend_on_the_batch():
-    rng = np.random.default_rng(2)
-    model = toxicity.Model(rng.normal(size=toxicity.WIDTH**3), 0.1)
-    words = ["cat", "cat,", "Cät", "…", "x" * 95, "идиот", "a", "st.up1d", "\ud800b"]
-    alone = [toxicity.Scorer(model)._score([w])[0] for w in words]
-    assert toxicity.Scorer(model)._score(words) == pytest.approx(alone, abs=2e-9)
-    assert alone[0] == alone[1] == alone[2]
-    assert toxicity.Scorer(model).features(["", "\n"])[:, :-1].tolist() == [[0.1] * toxicity.TOP] * 2
+def test_symbols():
+    assert unit("  !Cät5,\n") .tolist() == [30, 3, 1, 20, 19, 30]
+    assert unit("a i d i o t bb").tolist() == unit("aidiot bb").tolist()
+    assert unit("").tolist() == unit(" \n…").tolist() == [30, 30][:1]
 
 
-def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+def test_held_out_quality(spark):
+    """On held-out rows, far better than always answering clean (which finds nothing)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    some = docs.join(labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).select("doc_id", "toxic"), "doc_id").repartition(8)
+    got = toxicity.score(some, model).join(labels.select("doc_id", "toxic"), "doc_id").collect()
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1
         assert r["predicted"] == (r["score"] >= 0.5)
-    held = [(r["toxic"], r["predicted"]) for r in got if r["held_out"]]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    hit, toxic, said = (sum(f(r) for r in got) for f in (lambda r: r["toxic"] and r["predicted"], lambda r: r["toxic"], lambda r: r["predicted"]))
+    assert hit >= 0.85 * toxic > 50
+    assert hit >= 0.85 * said
+    pos, neg = (np.array([r["score"] for r in got if r["toxic"] == y]) for y in (1, 0))
+    assert (pos[:, None] > neg[None]).mean() > 0.93
 
 
 def test_toxicity_edges(spark):
