@@ -128,7 +128,7 @@ def test_top_k_equals_brute_force(spark):
     rows += [(5000, None), (5050, [1.0, None] + [0.0] * 6), (5100, [float("nan")] * 8), (5150, [float("inf")] * 8), (None, same)]
     rows += [(6000, [0.0] * 8), (6050, [1.0, 2.0, 3.0]), (6051, [1.0, 2.0, 3.5]), (6100, [])]
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], VECTORS)
-    for conf in ({}, {"block_rows": 100, "block_queries": 3}):
+    for conf in ({}, {"block_rows": 100, "block_queries": 3}, {"least_blocks": 1}):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **conf).collect())
         assert got == slow_top(rows, 5)
 
@@ -142,6 +142,20 @@ def test_top_k_stops_early_and_exactly():
         want = np.sort(x @ q)[::-1][:5]
         assert np.sort(scores)[::-1][:5].tolist() == want.tolist()
         assert set(np.flatnonzero(x @ q >= want[4])) == set(rows)
+        # With the kth score of another block, nothing that reaches it is lost.
+        rows, _ = lists.top(q, 5, least=float(want[1]))
+        assert set(np.flatnonzero(x @ q >= want[1])) <= set(rows)
+
+
+def test_top_k_of_a_repeated_query(spark):
+    """The vectors of one id are searched as one query; a row that both find counts by its better score, each copy once."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=4).astype(np.float32).tolist()) for i in range(1, 49)] + [(50, rng.normal(size=4).astype(np.float32).tolist()) for _ in range(2)] * 2
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], VECTORS)
+    ints = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    best = sorted((-max(int(a @ b) for q, a in ints if q == 50), i) for i, b in ints if i != 50)[:5]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
 
 
 def test_top_k_few_and_none(spark):
