@@ -23,41 +23,49 @@ class SortedLists:
         self.exact = np.abs(vectors).max(initial=0)
         self.as_float = vectors.astype(np.float64)
         self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
+        values = np.take_along_axis(vectors, self.order, axis=0)
+        n = len(vectors)
+        #: Depths at which a search may stop, and the values last read there, from either end of each list.
+        self.depths = np.array([d for d in (8 << i for i in range(40)) if d < n] + [n])
+        self.low, self.high = (values[self.depths - 1], values[n - self.depths]) if n else (values, values)
 
-    def top(self, query: np.ndarray, k: int, least: float = -np.inf, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Rows that can be among the k best (all that tie with the kth too) and their scores; rows that score under
         ``least`` (the kth score found elsewhere) may be left out.
 
         Sorted access goes down all lists at once, from the end that the query's sign favours; each row met is
         scored in full. The sum of the values last read is a bound for every row not met: when it is below the kth
-        score or ``least``, the search stops. The depth doubles between tests, and lists of dimensions with 0 are not read."""
+        score or ``least``, the search stops. Bounds are known for doubling depths, so after the first rows are scored
+        the search goes straight to where the kth score so far would end it. Lists of dimensions with 0 are not read."""
         n = len(self.vectors)
         dims = np.flatnonzero(query)
         exact = float(np.abs(query).max(initial=0)) * float(self.exact) * max(1, len(query)) < 2**53
         table, q = (self.as_float, query.astype(np.float64)) if exact else (self.vectors, query)
         if not len(dims) or n <= 4 * k:
-            rows = np.arange(n)
-            return self._best(rows, table @ q, k)
+            return self._best(np.arange(n), table @ q, k)
         falls = query[dims] < 0
+        bounds = np.where(falls, self.low[:, dims], self.high[:, dims]).astype(table.dtype) @ q[dims]
         met = np.zeros(n, bool)
         rows, scores = np.zeros(0, np.int64), np.zeros(0, table.dtype)
-        depth, done = first, 0
-        while done < n:
-            depth = min(depth, n)
-            met_now = np.zeros(n, bool)
-            met_now[self.order[done:depth, dims[falls]]] = True
-            met_now[self.order[n - depth : n - done, dims[~falls]]] = True
-            new = np.flatnonzero(met_now & ~met)
-            met[new] = True
-            got = table[new] @ q
+        at = done = 0
+        while True:
+            depth = int(self.depths[at])
+            new = np.zeros(n, bool)
+            if depth < n:
+                new[self.order[done:depth, dims[falls]]] = True
+                new[self.order[n - depth : n - done, dims[~falls]]] = True
+                new &= ~met
+            else:
+                new = ~met
+            met |= new
+            new = np.flatnonzero(new)
+            got = table[new] @ q if len(new) < n else table @ q
             rows, scores = self._best(np.concatenate([rows, new]), np.concatenate([scores, got]), k)
-            last = np.where(falls, self.values[depth - 1, dims], self.values[n - depth, dims])
-            bound = (last.astype(table.dtype) * q[dims]).sum()
-            if bound < least or len(rows) >= k and bound < scores.min():
-                break
-            done, depth = depth, depth * 2
-        return rows, scores
+            kth = max(scores.min() if len(rows) >= k else -np.inf, least)
+            if depth == n or bounds[at] < kth:
+                return rows, scores
+            ends = np.flatnonzero(bounds[at + 1 :] < kth)
+            at, done = at + 1 + int(ends[0]) if len(ends) else len(self.depths) - 1, depth
 
     @staticmethod
     def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
