@@ -36,10 +36,12 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\d.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d.-])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_TITLE})\.?|(?:{_GIVEN})) {_CAP}(?: {_CAP})*+(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Set around the matches of a text to cut it there; texts that hold it themselves are cut in another, slower way.
+MARK = "\u0001\ue000\u0001"
 
 
 def kind_of(m: Column) -> Column:
@@ -76,15 +78,22 @@ def _number(h: Column, i: Column, below: int) -> Column:
 
 
 def _shape(s: Column, h: Column) -> Column:
-    """Digits for digits and letters for letters of the same case; hexadecimal strings stay so."""
+    """Digits for digits and letters for letters of the same case; hexadecimal strings stay so. Each 20 characters have
+    a digest of their own, the first of them ``h``."""
     hexa = s.rlike(r"\A[0-9a-fA-F]+\z") & s.rlike("[a-fA-F]")
+    more = F.transform(F.sequence(F.lit(1), F.floor(F.greatest(F.length(s), F.lit(20)) / 20).cast("int")), lambda b: F.sha2(F.concat_ws("|", h, b.cast("string")), 256))
+    digests = F.when(F.length(s) > 20, F.concat(F.array(h), more)).otherwise(F.array(h))
 
-    def one(c: Column, i: Column, n: Column, is_hex: Column) -> Column:
+    def one(c: Column, n: Column, is_hex: Column) -> Column:
         letter = lambda of: F.substring(F.lit(of), F.pmod(n, F.when(is_hex, F.lit(6)).otherwise(F.lit(26))) + 1, F.lit(1))
         up, low = letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letter("abcdefghijklmnopqrstuvwxyz")
         return F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")).when(c.rlike(r"\p{Lu}"), up).when(c.rlike(r"\p{L}"), low).otherwise(c)
 
-    return _let(hexa, lambda x: F.array_join(F.transform(F.split(s, ""), lambda c, i: _let(_number(h, i * 3, 65536), lambda n: one(c, i, n, x))), ""))
+    def every(z: Column) -> Column:
+        number = lambda i: _number(F.get(z["d"], F.floor(i / 20).cast("int")), F.pmod(i, F.lit(20)) * 3, 65536)
+        return F.array_join(F.transform(F.split(s, ""), lambda c, i: _let(number(i), lambda n: one(c, n, z["hexa"]))), "")
+
+    return _let(F.struct(hexa.alias("hexa"), digests.alias("d")), every)
 
 
 def _fill(raw: Column, chars: Column) -> Column:
@@ -113,6 +122,17 @@ def _luhn(head: Column) -> Column:
     return F.concat(head, F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
+def _checked_iban(country: Column, rest: Column) -> Column:
+    """An IBAN of a country and an account, with the check digits that make it 1 modulo 97."""
+
+    def add(total: Column, c: Column) -> Column:
+        digit = c.cast("int")
+        return F.when(c.rlike("[0-9]"), F.pmod(total * 10 + digit, F.lit(97))).otherwise(F.pmod(total * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    total = F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), add)
+    return F.concat(country, F.lpad((98 - total).cast("string"), 2, "0"), rest)
+
+
 def _invented(kind: Column, h: Column) -> Column:
     """A made-up name of the script and, for given names, the gender that ``kind`` ends in."""
     words = lambda script: F.array(*map(F.lit, SYLLABLES[script].split()))
@@ -134,8 +154,11 @@ def surrogate_chars(key: str, kind: Column, canon: Column, attempt: Column) -> C
         phone = F.concat(F.substring(plain, F.lit(1), keep), (_number(h, F.lit(50), 8) + 2).cast("string"), F.substring(shaped, keep + 2, n))
         card = _let(F.concat(F.substring(plain, F.lit(1), F.lit(1)), F.substring(shaped, F.lit(2), n - 2)), _luhn)
         ip = F.concat_ws(".", *((_number(h, F.lit(12 * i), 254) + 1).cast("string") for i in range(4)))
-        iban = F.concat(F.substring(plain, F.lit(1), F.lit(2)), F.substring(shaped, F.lit(3), n))
+        iban = _let(F.substring(shaped, F.lit(5), n), lambda rest: _checked_iban(F.substring(plain, F.lit(1), F.lit(2)), rest))
+        fixed = F.length(F.regexp_extract(plain, r"\A(AKIA|gh[pousr]|sk)", 1))  # what tells a key's kind stays
+        issued = F.concat(F.substring(plain, F.lit(1), fixed), F.substring(shaped, fixed + 1, n))
         out = F.when(k == "phone", phone).when(k == "card", card).when(k == "ip", ip).when(k == "iban", iban)
+        out = out.when((k == "key") & ~plain.rlike(r"\A[0-9a-fA-F]+\z"), issued)
         # Short mailboxes and domains can have fewer forms than there are entities: late attempts grow longer.
         longer = F.concat(shaped, F.substring(h, F.lit(1), F.greatest(z["attempt"] - 7, F.lit(0))))
         out = out.when(k.isin("email", "domain"), longer)
@@ -205,17 +228,24 @@ def parts_of(found: Column) -> Column:
     return F.flatten(F.transform(found, one))
 
 
+def part_surrogate(key: str, kind: Column, canon: Column, attempts: Column | None) -> Column:
+    """The letters and digits that stand for an entity, at the attempt that ``attempts`` says."""
+    tries = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("|", kind, canon)), F.lit(0))
+    return surrogate_chars(key, kind, canon, tries)
+
+
+def _words_of(n: Column) -> Column:
+    """The words of a name as (k, c): kind and word."""
+    return F.concat(F.transform(n["given"], lambda g: F.struct(n["given_kind"].alias("k"), g.alias("c"))), F.array(F.struct(n["surname_kind"].alias("k"), n["surname"].alias("c"))))
+
+
 def replace_match(key: str, x: Column, attempts: Column | None) -> Column:
     """The surrogate of one (m, kind) as it is written in the text."""
     m, kind = x["m"], x["kind"]
-
-    def chars(k: Column, canon: Column) -> Column:
-        tries = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("|", k, canon)), F.lit(0))
-        return surrogate_chars(key, k, canon, tries)
+    chars = lambda k, canon: part_surrogate(key, k, canon, attempts)
 
     def name(n: Column) -> Column:
-        every = F.concat(F.transform(n["given"], lambda g: F.struct(n["given_kind"].alias("k"), g.alias("c"))), F.array(F.struct(n["surname_kind"].alias("k"), n["surname"].alias("c"))))
-        return F.concat(n["title"], F.array_join(F.transform(every, lambda w: chars(w["k"], F.lower(w["c"]))), " "))
+        return F.concat(n["title"], F.array_join(F.transform(_words_of(n), lambda w: chars(w["k"], F.lower(w["c"]))), " "))
 
     def other(c: Column) -> Column:
         domain = _domain(m)
@@ -227,6 +257,34 @@ def replace_match(key: str, x: Column, attempts: Column | None) -> Column:
     return F.when(kind == "name", _let(_name_parts(m), name)).otherwise(_let(chars(kind, canonical(kind, m)), other))
 
 
+def bare_names(key: str, pieces: Column, found: Column, attempts: Column | None) -> Column:
+    """``pieces`` of a text with the words of the names ``found`` in it replaced where they stand alone: a given name or
+    surname of three letters or more reads like in its full mention (as it does there first, if it was both)."""
+    words = F.flatten(F.transform(F.filter(found, lambda x: x["kind"] == "name"), lambda x: _let(_name_parts(x["m"]), _words_of)))
+    words = F.filter(words, lambda w: F.length(w["c"]) > 2)
+
+    def use(z: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort(z["c"], lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        new = F.map_from_arrays(z["c"], F.transform(z["c"], lambda c: part_surrogate(key, F.get(F.filter(z["w"], lambda w: w["c"] == c), F.lit(0))["k"], F.lower(c), attempts)))
+
+        def alone(y: Column) -> Column:
+            one = lambda p: F.array_join(F.transform(F.split(F.regexp_replace(p, y["pattern"], F.lit(f"{MARK}$0{MARK}")), MARK, -1), lambda x: F.coalesce(F.try_element_at(y["new"], x), x)), "")
+            return F.transform(pieces, lambda p: F.when(F.contains(p, F.lit(MARK)), p).otherwise(one(p)))
+
+        return _let(F.struct(pattern.alias("pattern"), new.alias("new")), alone)
+
+    named = F.exists(found, lambda x: x["kind"] == "name")
+    each = _let(words, lambda w: F.when(F.size(w) > 0, _let(F.struct(w.alias("w"), F.array_distinct(F.transform(w, lambda x: x["c"])).alias("c")), use)).otherwise(pieces))
+    return F.when(named, each).otherwise(pieces)
+
+
+def cut_up(text: Column) -> Column:
+    """A text cut at its entities: what stands before the first, the first, what stands before the next and so on."""
+    marked = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    apart = F.array_compact(F.flatten(F.zip_with(F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda p, m: F.array(p, m))))
+    return F.when(F.contains(text, F.lit(MARK)), apart).otherwise(marked)
+
+
 def attempts_needed(parts: DataFrame, key: str, rounds: int = 50) -> DataFrame | None:
     """(kind, canon, attempt) of the entities that must not use attempt 0; None if there are none.
 
@@ -252,25 +310,31 @@ def attempts_needed(parts: DataFrame, key: str, rounds: int = 50) -> DataFrame |
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten, and n_entities and kinds (sorted, distinct) of what was replaced.
 
-    Null text stays null with 0 entities; empty texts stay. Null or repeated doc_ids don't matter: a row is
-    rewritten by itself, only the check of collisions looks at all rows. All columns of ``docs`` are kept (a column
-    called n_entities or kinds is replaced). Empty table: no rows. Frequent entities cost nothing extra: the
-    distinct entities are summed up per task before they meet."""
-    found = F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
-    with_any = docs.select("text").where(F.col("text").rlike(ANY)).select(found.alias("f"))
-    parts = with_any.select(F.explode(F.array_distinct(parts_of(tagged(F.col("f"))))).alias("p")).select("p.kind", "p.canon").distinct()
+    Parts of a name that stand alone in the same text are replaced like in the name (not counted in n_entities). Null
+    text stays null with 0 entities; empty texts stay. Null or repeated doc_ids don't matter: a row is rewritten by
+    itself, only the check of collisions looks at all rows. All columns of ``docs`` are kept (a column called n_entities
+    or kinds is replaced, as is one that begins with __pii_). Empty table: no rows. Frequent entities cost nothing extra:
+    the distinct entities are summed up per task before they meet.
+
+    The patterns run once over each text; what they cut it into is written with the row."""
+    rows = docs.drop("n_entities", "kinds").withColumn("__pii_cut", cut_up(F.col("text")))
+    hit = F.size("__pii_cut") > 1
+    rows = rows.withColumn("__pii_pieces", F.when(hit, F.filter("__pii_cut", lambda x, i: i % 2 == 0))).withColumn("__pii_found", F.when(hit, tagged(F.filter("__pii_cut", lambda x, i: i % 2 == 1))))
+    rows = written(rows.withColumn("text", F.when(~hit, F.col("text"))).drop("__pii_cut"), "pii-cut")  # a text in pieces isn't written twice
+    some = rows.where("__pii_found IS NOT NULL")
+    parts = some.select(F.explode(F.array_distinct(parts_of(F.col("__pii_found")))).alias("p")).select("p.kind", "p.canon").distinct()
     again = attempts_needed(written(parts, "pii-entities"), key)
-    rows = docs.drop("n_entities", "kinds").withColumn("__found", found)
     attempts = None
     if again is not None:
-        again = written(again.select(F.concat_ws("|", "kind", "canon").alias("__part"), "attempt"), "pii-again")
-        rows = rows.withColumn("__h", F.xxhash64("text"))
-        mine = rows.where(F.size("__found") > 0).select("__h", F.explode(F.array_distinct(F.transform(parts_of(tagged(F.col("__found"))), lambda p: F.concat_ws("|", p["kind"], p["canon"])))).alias("__part"))
-        maps = sized_join(mine.distinct(), again, "__part").groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("__part", "attempt"))).alias("__attempts"))
-        rows = sized_join(rows, written(maps, "pii-maps"), "__h", "left").drop("__h")
-        attempts = F.col("__attempts")
-    pieces = F.split("text", ANY, -1)
-    new = F.array_join(F.zip_with(pieces, F.transform(tagged(F.col("__found")), lambda x: replace_match(key, x, attempts)), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = rows.withColumn("text", F.when(F.size("__found") > 0, new).otherwise(F.col("text")))
-    out = out.withColumn("n_entities", F.size("__found")).withColumn("kinds", F.array_sort(F.array_distinct(F.transform("__found", kind_of))))
-    return out.drop("__found", "__attempts")
+        again = written(again.select(F.concat_ws("|", "kind", "canon").alias("__pii_part"), "attempt"), "pii-again")
+        rows = rows.withColumn("__pii_h", F.xxhash64("__pii_found"))
+        mine = rows.where("__pii_found IS NOT NULL").select("__pii_h", F.explode(F.array_distinct(F.transform(parts_of(F.col("__pii_found")), lambda p: F.concat_ws("|", p["kind"], p["canon"])))).alias("__pii_part"))
+        maps = sized_join(mine.distinct(), again, "__pii_part").groupBy("__pii_h").agg(F.map_from_entries(F.collect_list(F.struct("__pii_part", "attempt"))).alias("__pii_attempts"))
+        rows = sized_join(rows, written(maps, "pii-maps"), "__pii_h", "left").drop("__pii_h")
+        attempts = F.col("__pii_attempts")
+    new = F.transform("__pii_found", lambda x: replace_match(key, x, attempts))
+    joined = F.array_join(F.zip_with(bare_names(key, F.col("__pii_pieces"), F.col("__pii_found"), attempts), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    kinds = F.array_sort(F.array_distinct(F.transform("__pii_found", lambda x: x["kind"])))
+    out = rows.withColumn("text", F.when(F.col("__pii_found").isNotNull(), joined).otherwise(F.col("text")))
+    out = out.withColumn("n_entities", F.coalesce(F.size("__pii_found"), F.lit(0))).withColumn("kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    return out.drop("__pii_found", "__pii_pieces", "__pii_attempts")
