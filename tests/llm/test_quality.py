@@ -113,3 +113,28 @@ def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, document(random.Random(4), False), None, 1, "k")], DOCS)
     assert [r["kept"] for r in quality.judge(docs, none).collect()] == [True]
     assert quality.judge(docs.where("false"), none).collect() == []
+
+
+def test_cutoffs_and_verdicts_equal_sql(spark):
+    """Counts, the proven cutoffs and the verdicts of every document, against DuckDB."""
+    import duckdb
+
+    from wavelane.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = queries.op6_quality(spark, sf)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op6_quality']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_five_hundred_good_rows_prove_a_cutoff(spark):
+    """A stratum of 300 good rows rejects its junk; one of 100 proves nothing and keeps all that the base rules keep."""
+    fine, junk = "plain words of a text that says one thing after another", "#### $$$$ words ## && of ** junk ||| <<>> and ### more $$ of it"
+    rows = [(i, junk if i % 10 == 0 else f"{fine} {i}", "a" if i < 330 else "b") for i in range(440)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(440)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert got == {i: i >= 330 or i % 10 != 0 for i in range(440)}

@@ -41,7 +41,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +142,38 @@ WITH d AS (
   FROM o LEFT JOIN takes ON takes.key = o.key AND takes.class = o.class
 )
 SELECT doc_id, size, source_size, target, chance, CAST(copies AS INTEGER) AS copies, CAST(copies * size AS BIGINT) AS taken FROM m
+""",
+    "op6_quality": r"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4))
+), rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY doc_id
+), ln AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '\p{Lu}')) AS n_upper, coalesce(ln.n, 0) AS n_lines
+  FROM w LEFT JOIN ln ON ln.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    greatest(n_symbols::DOUBLE / greatest(word_chars, 1) / 0.1::DOUBLE, n_dup_lines::DOUBLE / greatest(n_lines, 1) / 0.6::DOUBLE,
+      n_repeat_words::DOUBLE / greatest(n_words, 1) / 0.2::DOUBLE, n_upper::DOUBLE / greatest(word_chars, 1) / 0.2::DOUBLE) AS score FROM m
+), h AS (SELECT coalesce(lang, '-') AS lang, score, q FROM b JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+), c AS (
+  SELECT lang, i, round(5.0::DOUBLE - 0.1::DOUBLE * i, 1) AS cut, sum((q = 1)::INT) AS n, sum((q = 1 AND score > round(5.0::DOUBLE - 0.1::DOUBLE * i, 1))::INT) AS k,
+    sum((q <> 1 AND score > round(5.0::DOUBLE - 0.1::DOUBLE * i, 1))::INT) AS bad
+  FROM h, (SELECT unnest(range(0, 50)) AS i) GROUP BY lang, i
+), p AS (
+  SELECT *, k <= 0.02 * n AND n > 0 AND list_sum(list_transform(range(0, k::BIGINT + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(greatest(n - j, 0) + 1) + j * ln(0.02::DOUBLE) + (n - j) * ln(0.98::DOUBLE)))) <= 0.05 / (SELECT count(DISTINCT lang) FROM h) AS proven FROM c
+), o AS (SELECT *, bool_and(proven) OVER (PARTITION BY lang ORDER BY i) AS held FROM p
+), cuts AS (SELECT lang, arg_max(cut, (bad - k, -i)) AS cut FROM o WHERE held AND bad > k GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score <= cut, true) AS kept
+FROM b LEFT JOIN cuts ON cuts.lang = coalesce(b.lang, '-')
 """,
 }
