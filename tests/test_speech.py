@@ -29,6 +29,25 @@ def test_pre_emphasis(spark):
     assert signal.pre_emphasis(samples(spark, {})).collect() == []
 
 
+def test_blocks_of_a_clip_join_without_a_seam(spark):
+    """Lag and frames over block edges, and clips that end at one."""
+    rng = np.random.default_rng(2)
+    clips = {n: rng.integers(-3000, 3000, n) for n in (1, 2, 63, 64, 65, 128, 333)}
+    df = samples(spark, clips)
+    want = {(c, i): x[i] / 32768 - (0.97 * x[i - 1] / 32768 if i else 0) for c, x in clips.items() for i in range(len(x))}
+    for block in (1, 2, 64):
+        got = {(r["clip"], r["pos"]): r["y"] for r in signal.pre_emphasis(df, block=block).collect()}
+        assert got == pytest.approx(want)
+    p = Profile(frame=10, hop=4)
+    w = np.array(signal.hamming(p))
+    frame = lambda c, f: [want[c, 4 * f + i] * w[i] for i in range(10)]
+    every = {(c, f): frame(c, f) for c, x in clips.items() for f in range((len(x) - 10) // 4 + 1 if len(x) >= 10 else 0)}
+    for per_block in (1, 2, 7, 64):
+        got = {(r["clip"], r["frame_idx"]): r["frame"] for r in signal.frame_arrays(df, p, per_block=per_block).collect()}
+        assert set(got) == set(every)
+        assert all(got[k] == pytest.approx(every[k]) for k in every)
+
+
 def test_frame_counts(spark):
     lengths = [1, 239, 240, 241, 399, 400, 559, 560]
     got = signal.frame_count(samples(spark, {n: [0] * n for n in lengths}))
@@ -212,6 +231,20 @@ def test_wav_round_trip(spark, tmp_path):
     assert got == {"a.wav": (16000, [1, -32768, 32767]), "b.wav": (8000, [])}
 
 
+def test_wav_bad_file_and_equal_names(spark, tmp_path):
+    clips = spark.createDataFrame([("a", 8000, [1, 2]), ("b", 8000, [])], "name string, sample_rate int, pcm array<smallint>")
+    write_wav(clips, str(tmp_path / "w"))
+    (tmp_path / "w/c.wav").write_bytes(b"no sound")
+    (tmp_path / "w/d.wav").write_bytes(encode_wav(np.array([1]))[:30])
+    got = {r["path"][-5:]: (r["sample_rate"], r["pcm"], r["error"]) for r in read_wav(spark, str(tmp_path / "w")).collect()}
+    assert got["a.wav"] == (8000, [1, 2], None) and got["b.wav"] == (8000, [], None)
+    assert all(got[n][:2] == (None, None) and got[n][2] for n in ("c.wav", "d.wav"))
+    assert sorted(f.name for f in (tmp_path / "w").iterdir() if not f.name.startswith(".")) == ["a.wav", "b.wav", "c.wav", "d.wav"]
+    with pytest.raises(Exception, match="same name"):
+        write_wav(clips.unionByName(clips), str(tmp_path / "v"))
+    assert not list((tmp_path / "v").glob("*.wav"))
+
+
 def test_wav_chunks_and_refusals():
     plain = encode_wav(np.array([5, 6], "<i2"))
     odd = plain[:12] + b"LIST\x04\x00\x00\x00abcd" + plain[12:] + encode_wav(np.array([7], "<i2"))[36:]

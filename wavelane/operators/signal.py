@@ -18,10 +18,18 @@ def pcm_scale(samples: DataFrame) -> DataFrame:
     return samples.select("clip", "pos", (F.col("sample") / F.lit(32768.0)).alias("x"))
 
 
-def pre_emphasis(samples: DataFrame, alpha: float = 0.97) -> DataFrame:
-    """y = x - alpha * previous x; the first sample stays. An empty clip gives nothing."""
-    before = F.coalesce(F.lag("x", 1).over(Window.partitionBy("clip").orderBy("pos")), F.lit(0.0))
-    return pcm_scale(samples).select("clip", "pos", (F.col("x") - F.lit(alpha) * before).alias("y"))
+#: Samples in a block: a clip is spread over tasks by blocks, however long it is.
+BLOCK = 65_536
+
+
+def pre_emphasis(samples: DataFrame, alpha: float = 0.97, block: int = BLOCK) -> DataFrame:
+    """y = x - alpha * previous x; the first sample stays. An empty clip gives nothing.
+
+    The window is a block of a clip; a block's last sample goes to the next block as well, for the lag there."""
+    own = F.floor(F.col("pos") / block)
+    rows = pcm_scale(samples).withColumn("own", own).withColumn("block", F.explode(F.when((F.col("pos") + 1) % block == 0, F.array(own, own + 1)).otherwise(F.array(own))))
+    before = F.coalesce(F.lag("x", 1).over(Window.partitionBy("clip", "block").orderBy("pos")), F.lit(0.0))
+    return rows.withColumn("y", F.col("x") - F.lit(alpha) * before).where("own = block").select("clip", "pos", "y")
 
 
 def n_frames(length: Column, p: Profile) -> Column:
@@ -43,23 +51,29 @@ def hamming_table(spark: SparkSession, p: Profile = Profile()) -> DataFrame:
     return spark.range(p.frame).select(i.cast("int").alias("i"), (0.54 - 0.46 * F.cos(F.lit(2 * math.pi) * i / (p.frame - 1))).alias("w"))
 
 
-def frames(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """(clip, frame_idx, i, v): windowed samples of each full frame.
+def frame_arrays(samples: DataFrame, p: Profile = Profile(), alpha: float = 0.97, per_block: int = 64) -> DataFrame:
+    """(clip, frame_idx, frame): the windowed samples of each full frame of a clip after pre-emphasis, as one array.
 
-    Each sample goes to the at most ceil(frame / hop) frames that hold it; a frame counts if its last sample exists.
-    One exchange by clip serves the lag and the clip's length."""
-    emph = pre_emphasis(samples, 0.97).withColumn("n", F.count("*").over(Window.partitionBy("clip")))
-    last = F.least(F.floor(F.col("pos") / p.hop), n_frames(F.col("n"), p) - 1)
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - p.frame) / p.hop) + 1)
-    rows = emph.where(last >= first).withColumn("frame_idx", F.explode(F.sequence(first, last))).withColumn("i", (F.col("pos") - F.col("frame_idx") * p.hop).cast("int"))
-    w = F.element_at(F.array(*map(F.lit, hamming(p))), F.col("i") + 1)
-    return rows.select("clip", "frame_idx", "i", (F.col("y") * w).alias("v"))
+    Samples meet in blocks of ``per_block`` frames, with the overlap that the last frames need and one sample before for
+    the lag: one exchange of little more than the samples, and no task holds more of a clip than its blocks. A frame
+    counts if its last sample exists; positions of a clip have no gaps."""
+    step = per_block * p.hop
+    last = F.floor((F.col("pos") + 1) / step)  # the block for which this may be the sample before the first
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - p.frame + p.hop) / step))
+    rows = samples.withColumn("block", F.explode(F.sequence(F.least(first, last), last)))
+    rows = rows.groupBy("clip", "block").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("sample") / F.lit(32768.0)).alias("x")))).alias("s"))
+    held = rows.withColumn("x", F.col("s.x")).withColumn("skip", (F.col("block") > 0).cast("int"))
+    y = F.transform("x", lambda v, i: v - F.lit(alpha) * F.coalesce(F.get("x", i - 1), F.lit(0.0)))
+    held = held.withColumn("y", F.slice(y, F.col("skip") + 1, F.size("x")))
+    n = F.least(n_frames(F.size("y"), p), F.lit(per_block)).cast("int")
+    held = held.withColumn("k", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
+    frame = F.zip_with(F.slice("y", F.col("k") * p.hop + 1, p.frame), F.array(*map(F.lit, hamming(p))), lambda a, w: a * w)
+    return held.select("clip", (F.col("block") * per_block + F.col("k")).cast("long").alias("frame_idx"), frame.alias("frame"))
 
 
-def frame_arrays(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """(clip, frame_idx, frame): each frame as one array."""
-    rows = frames(samples, p).groupBy("clip", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("f"))
-    return rows.select("clip", "frame_idx", F.col("f.v").alias("frame"))
+def frames(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """(clip, frame_idx, i, v): the samples of :func:`frame_arrays` one by one."""
+    return frame_arrays(samples, p).select("clip", "frame_idx", F.posexplode("frame").alias("i", "v"))
 
 
 def dft_magnitude(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
@@ -120,8 +134,12 @@ def mel_log(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
 def fbank(samples: DataFrame, p: Profile = Profile()) -> DataFrame:
     """(clip, frame_idx, fbank): log-mel features standardised by one mean and population deviation per clip.
 
-    The moments of a clip are partial sums a task, joined back by clip."""
+    The spectra are computed once; a clip's frames, a row for each 160 samples, meet for its two moments."""
     rows = mel_log(samples, p)
-    values = rows.select("clip", F.explode("fbank").alias("v")).groupBy("clip").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    out = rows.join(values, "clip")
-    return out.select("clip", "frame_idx", F.transform("fbank", lambda v: (v - F.col("mean")) / (F.col("std") + 1e-8)).alias("fbank"))
+    # One pass over the spectra: a clip's moments are a window over its frames, one row a frame.
+    clip = Window.partitionBy("clip")
+    add = lambda use: F.aggregate("fbank", F.lit(0.0), lambda a, v: a + use(v))
+    n = F.count("*").over(clip) * p.n_mels
+    rows = rows.withColumn("mean", F.sum(add(lambda v: v)).over(clip) / n)
+    rows = rows.withColumn("std", F.sqrt(F.sum(add(lambda v: (v - F.col("mean")) * (v - F.col("mean")))).over(clip) / n))
+    return rows.select("clip", "frame_idx", F.transform("fbank", lambda v: (v - F.col("mean")) / (F.col("std") + 1e-8)).alias("fbank"))

@@ -39,8 +39,7 @@ def flags(samples: DataFrame, p: Profile = Profile(), scope: str = "clip") -> Da
         e = e.withColumn("one", F.lit(1)).join(F.broadcast(floor), "one").join(F.broadcast(head.select("clip", "frame_idx", F.lit(True).alias("calib"))), ["clip", "frame_idx"], "left")
         calib = F.coalesce("calib", F.lit(False))
     else:
-        frames = F.count(F.when(calib, 1)).over(by_clip())
-        e = e.withColumn("floor", F.when(frames >= p.calib_frames, F.avg(F.when(calib, F.col("energy"))).over(by_clip())))
+        e = e.join(noise_floor(samples, p).withColumnRenamed("noise_floor", "floor"), "clip", "left")
     speech = ~calib & F.coalesce(F.col("energy") > F.lit(float(p.vad_factor)) * F.col("floor"), F.lit(False))
     return e.select("clip", "frame_idx", "energy", speech.alias("speech"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import metrics
 from ..operators import decode, signal, vad
 from ..profile import Profile
 
@@ -47,3 +50,30 @@ def recognize(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Profile =
     logits = scorer.score(signal.fbank(speech, p))
     found = decode.decode(logits, vocab, p.blank_id, p.beam_size)
     return clips.join(found, "clip", "left").na.fill({"text": "", "n_tokens": 0}).select("clip", "text", "n_tokens")
+
+
+METRICS = "audio_ms double, vad_ms double, preprocess_ms double, infer_ms double, decode_ms double, total_ms double, rtf double"
+
+
+def stage_times(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """One row of METRICS for the work of :func:`recognize` over all clips: wall-clock time of each stage, which is kept
+    for the next one while it is timed."""
+    spark, spent, kept = samples.sparkSession, [], []
+
+    def stage(df: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        df = df.persist()
+        df.count()
+        spent.append(1000 * (time.perf_counter() - began))
+        kept.append(df)
+        return df
+
+    speech = stage(vad.segment_concat(samples, vad.segments(samples, p)))
+    features = stage(signal.fbank(speech, p))
+    logits = stage(scorer.score(features))
+    stage(decode.decode(logits, vocab, p.blank_id, p.beam_size))
+    audio = samples.agg(metrics.duration_ms(F.count("*"), p.rate).alias("a")).first()["a"]
+    for df in kept:
+        df.unpersist()
+    total = sum(spent)
+    return spark.createDataFrame([(audio, *spent, total, total / audio if audio else 0.0)], METRICS)

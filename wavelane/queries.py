@@ -5,18 +5,23 @@ Signals come from the tables: E = embeddings as audio per label, V = event value
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics
 from .operators import decode, signal, vad
-from .plans.recognize import LinearScorer, recognize
+from .plans.recognize import LinearScorer, recognize, stage_times
 from .profile import Profile
 from .sources.vocab import parse_vocab
-from .sources.wav import decode_wav, encode_wav
+from .sources.wav import read_wav, write_wav
 
 SHORT = Profile(vad_frame=4, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
+GATED = Profile(vad_frame=64, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
 FULL = Profile()
 VOCAB = "<blank>\r\n<unk>\n<sos>\n<eos>\n" + "".join(f"w{i} \n" for i in range(4, 64))
 
@@ -57,25 +62,38 @@ def _segments(spark, sf):
     return vad.segments(series(spark, sf), SHORT)
 
 
-def _wav(spark, sf):
-    """Each clip as WAV bytes and back."""
-    clips = audio(spark, sf).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pos", "sample"))).alias("s")).select("clip", F.col("s.sample").cast("array<int>").alias("pcm"))
-
-    def trip(batches):
-        import pyarrow as pa
+def _shared(spark) -> str:
+    """A new folder that all executors share; without spark.checkpoint.dir, a temporary one of this machine in local mode."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="wavelane-")
+    return f"{top.rstrip('/')}/wav-{uuid.uuid4().hex}"
 
-        for b in batches:
-            found = [decode_wav(encode_wav(np.array(x, "<i2"), 16_000)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int16()))], ["clip", "sample_rate", "pcm"])
 
-    rows = clips.mapInArrow(trip, "clip int, sample_rate int, pcm array<smallint>")
+def _wav(spark, sf):
+    """Each clip written as a WAV file by the sink and read back by the source."""
+    clips = audio(spark, sf).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pos", "sample"))).alias("s"))
+    path = _shared(spark)
+    write_wav(clips.select(F.col("clip").cast("string").alias("name"), F.lit(16_000).alias("sample_rate"), F.col("s.sample").cast("array<smallint>").alias("pcm")), path)
+    rows = read_wav(spark, path).where("error IS NULL").withColumn("clip", F.regexp_extract("path", r"([^/]*)\.wav\z", 1).cast("int"))
     return rows.select("clip", "sample_rate", F.posexplode("pcm").alias("pos", "sample")).select("clip", "sample_rate", F.col("pos").cast("long").alias("pos"), F.col("sample").cast("long").alias("sample"))
 
 
 def _integrity(spark, sf):
     a, b = audio(spark, sf), _wav(spark, sf).select("clip", "pos", "sample")
-    lost = a.exceptAll(b).agg(F.count("*").alias("lost"))
-    return lost.select("lost", (F.col("lost") == 0).alias("intact"))
+    lost = a.exceptAll(b).agg(F.count("*").alias("lost")).crossJoin(b.agg(F.count("*").alias("n_samples")))  # one row each
+    return lost.select("n_samples", "lost", (F.col("lost") == 0).alias("intact"))
+
+
+def _by_mode(spark, sf):
+    """Segments under each mode's factor."""
+    out = None
+    for mode in range(4):
+        found = vad.segments(series(spark, sf), replace(SHORT, factor=None, mode=mode)).withColumn("mode", F.lit(mode))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 WEIGHTS = np.array([[((m * 7 + v * 13) % 17 - 8) / 8.0 for v in range(64)] for m in range(80)])
@@ -114,6 +132,10 @@ def queries() -> dict:
         "wav_roundtrip": _wav,
         "integrity_check": _integrity,
         "recognize": lambda s, d: recognize(audio(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), FULL, gate=False),
+        "recognize_gated": lambda s, d: recognize(audio(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
+        "stage_times": lambda s, d: stage_times(audio(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
+        "vad_modes": _by_mode,
+        "vad_session": lambda s, d: vad.flags(series(s, d), SHORT, scope="session").select("clip", "frame_idx", "speech"),
     }
 
 
@@ -144,20 +166,29 @@ fb AS (SELECT s.clip, s.frame_idx, m.mel, ln(greatest(coalesce(p.s, 0), 1e-10::D
   FROM starts s CROSS JOIN (SELECT unnest(range(0, 80)) AS mel) m LEFT JOIN pairs p ON p.clip = s.clip AND p.frame_idx = s.frame_idx AND p.mel = m.mel),
 cm AS (SELECT clip, frame_idx, mel, (v - avg(v) OVER (PARTITION BY clip)) / (stddev_pop(v) OVER (PARTITION BY clip) + 1e-8::DOUBLE) AS v FROM fb)"""
 _SERIES = "ser AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS sample FROM events)"
-_FLAGS = _SERIES + """,
-en AS (SELECT clip, pos // 4 AS frame_idx, avg(sample * sample) AS energy FROM ser GROUP BY clip, pos // 4 HAVING count(*) = 4),
+
+
+def _flags(w: int = 4, factor: float = 1.0) -> str:
+    """Of a series ``ser`` to its segments, with frames of ``w`` samples."""
+    return f"""
+en AS (SELECT clip, pos // {w} AS frame_idx, avg(sample * sample) AS energy FROM ser GROUP BY clip, pos // {w} HAVING count(*) = {w}),
 fl AS (SELECT clip, avg(energy) AS f, count(*) AS n FROM en WHERE frame_idx < 5 GROUP BY clip),
-sp AS (SELECT en.clip, frame_idx, frame_idx >= 5 AND n >= 5 AND energy > 1.0 * f AS speech FROM en JOIN fl ON fl.clip = en.clip),
+sp AS (SELECT en.clip, frame_idx, frame_idx >= 5 AND n >= 5 AND energy > {factor} * f AS speech FROM en JOIN fl ON fl.clip = en.clip),
 isl AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY frame_idx) - row_number() OVER (PARTITION BY clip, speech ORDER BY frame_idx) AS g FROM sp),
 rn AS (SELECT clip, frame_idx, speech, row_number() OVER (PARTITION BY clip, speech, g ORDER BY frame_idx) AS run FROM isl),
 la AS (SELECT clip, frame_idx, coalesce(last_value(CASE WHEN speech AND run >= 2 THEN 1 WHEN NOT speech AND run >= 3 THEN 0 END IGNORE NULLS)
     OVER (PARTITION BY clip ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0) AS state FROM rn),
 ed AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY clip ORDER BY frame_idx), 0) AS before FROM la),
-chg AS (SELECT *, lead((frame_idx + 1 - 3) * 4) OVER (PARTITION BY clip ORDER BY frame_idx) AS stop FROM ed WHERE state <> before),
+chg AS (SELECT *, lead((frame_idx + 1 - 3) * {w}) OVER (PARTITION BY clip ORDER BY frame_idx) AS stop FROM ed WHERE state <> before),
 seg AS (SELECT c.clip, CAST(row_number() OVER (PARTITION BY c.clip ORDER BY frame_idx) - 1 AS INTEGER) AS seg_id,
-    CAST((frame_idx + 1 - 2) * 4 AS BIGINT) AS start_sample, CAST(coalesce(stop, t.total) AS BIGINT) AS end_sample
+    CAST((frame_idx + 1 - 2) * {w} AS BIGINT) AS start_sample, CAST(coalesce(stop, t.total) AS BIGINT) AS end_sample
   FROM chg c JOIN (SELECT clip, count(*) AS total FROM ser GROUP BY clip) t ON t.clip = c.clip
-  WHERE state = 1 AND coalesce(stop, t.total) > (frame_idx + 1 - 2) * 4)"""
+  WHERE state = 1 AND coalesce(stop, t.total) > (frame_idx + 1 - 2) * {w})"""
+
+
+_FLAGS = _SERIES + "," + _flags()
+_GATED = _AUDIO.replace("audio AS (", "ser AS (") + "," + _flags(64) + """,
+audio AS (SELECT s.clip, row_number() OVER (PARTITION BY s.clip ORDER BY pos) - 1 AS pos, sample FROM ser s JOIN seg ON seg.clip = s.clip AND pos >= start_sample AND pos < end_sample)"""
 _TOKENS = """am AS (SELECT label AS clip, vec_id AS t, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS token_id FROM embeddings),
 col AS (SELECT clip, t, token_id FROM (SELECT *, coalesce(lag(token_id) OVER (PARTITION BY clip ORDER BY t), 0) AS b FROM am) WHERE token_id <> 0 AND token_id <> b),
 voc AS (SELECT CAST(i AS INTEGER) AS token_id, CASE i WHEN 0 THEN '<blank>' WHEN 1 THEN '<unk>' WHEN 2 THEN '<sos>' WHEN 3 THEN '<eos>' ELSE 'w' || i || ' ' END AS token FROM (SELECT unnest(range(0, 64)) AS i))"""
@@ -169,14 +200,27 @@ FROM (SELECT DISTINCT label AS clip FROM embeddings) c LEFT JOIN (SELECT * FROM
 LEFT JOIN voc v ON v.token_id = x.token_id GROUP BY c.clip"""
 
 
+def _recognized(features: str) -> str:
+    return f"""WITH {features}, {_TOKENS},
+lin AS (SELECT clip, frame_idx AS t, v.v AS token_id, round(sum(cm.v * (((mel * 7 + v.v * 13) % 17 - 8) / 8.0::DOUBLE)), 6) AS x FROM cm, (SELECT unnest(range(0, 64)) AS v) v GROUP BY ALL),
+bst AS (SELECT clip, t, CAST(arg_max(token_id, (x, -token_id)) AS INTEGER) AS token_id FROM lin GROUP BY clip, t),
+cl2 AS (SELECT clip, t, token_id FROM (SELECT *, coalesce(lag(token_id) OVER (PARTITION BY clip ORDER BY t), 0) AS b FROM bst) WHERE token_id <> 0 AND token_id <> b)
+{_text('cl2')}"""
+
+
+#: The labels as the check expects them, written out by hand.
+_LABELS = """(0, 'Success'), (1, 'ACL init failed'), (2, 'ACL set device failed'), (3, 'ACL create context failed'), (4, 'OM model load failed'),
+(5, 'Model execute failed'), (6, 'Host/Device memcpy failed'), (7, 'Invalid audio data'), (8, 'Audio preprocess failed'), (9, 'VAD failed'),
+(10, 'CTC decode failed'), (11, 'Engine not initialized'), (12, 'Unknown error')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    labels = ", ".join(f"({k}, '{v}')" for k, v in (metrics.STATUS | {12: "Unknown error"}).items())
     return {
         "argmax_tokens": f"WITH {_TOKENS} SELECT clip, t, token_id FROM am",
         "ctc_collapse": f"WITH {_TOKENS} SELECT clip, t, token_id FROM col",
         "vocab_lookup": f"WITH {_TOKENS} SELECT clip, t, token FROM am JOIN voc USING (token_id) WHERE token_id > 3",
         "ctc_greedy": f"WITH {_TOKENS} {_text('col')}",
-        "vocab_size": "SELECT CAST(64 AS BIGINT) AS n_tokens",
+        "vocab_size": f"WITH {_TOKENS} SELECT count(*) AS n_tokens FROM voc",
         "ctc_beam": f"WITH {_TOKENS} {_text('am')}",
         "token_topk": """SELECT clip, t, CAST(rank AS INTEGER) AS rank, token_id FROM (
   SELECT label AS clip, vec_id AS t, CAST(i - 1 AS INTEGER) AS token_id, row_number() OVER (PARTITION BY label, vec_id ORDER BY embedding[i] DESC, i) AS rank
@@ -199,13 +243,14 @@ def oracle_sql() -> dict[str, str]:
         "fbank_cmvn": f"WITH {_FBANK} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(mel AS INTEGER) AS mel, round(v, 6) + 0.0::DOUBLE AS v FROM cm",
         "clip_duration": f"WITH {_EMPH} SELECT clip, n_samples * 1000.0::DOUBLE / 16000 AS audio_ms FROM sizes",
         "rtf_metrics": f"WITH {_EMPH} SELECT clip, round(n_frames / (n_samples * 1000.0::DOUBLE / 16000), 9) AS rtf FROM sizes",
-        "error_label": f"SELECT CAST(code AS BIGINT) AS code, label FROM (VALUES {labels}) x(code, label)",
+        "error_label": f"SELECT CAST(code AS BIGINT) AS code, label FROM (VALUES {_LABELS}) x(code, label)",
         "segment_counts": f"WITH {_FLAGS} SELECT c.clip, count(seg.seg_id) AS n_segments FROM (SELECT DISTINCT user_id AS clip FROM events) c LEFT JOIN seg ON seg.clip = c.clip GROUP BY c.clip",
         "wav_roundtrip": f"WITH {_AUDIO} SELECT clip, CAST(16000 AS INTEGER) AS sample_rate, pos, sample FROM audio",
-        "integrity_check": "SELECT CAST(0 AS BIGINT) AS lost, true AS intact",
-        "recognize": f"""WITH {_FBANK}, {_TOKENS},
-lin AS (SELECT clip, frame_idx AS t, v.v AS token_id, round(sum(cm.v * (((mel * 7 + v.v * 13) % 17 - 8) / 8.0::DOUBLE)), 6) AS x FROM cm, (SELECT unnest(range(0, 64)) AS v) v GROUP BY ALL),
-bst AS (SELECT clip, t, CAST(arg_max(token_id, (x, -token_id)) AS INTEGER) AS token_id FROM lin GROUP BY clip, t),
-cl2 AS (SELECT clip, t, token_id FROM (SELECT *, coalesce(lag(token_id) OVER (PARTITION BY clip ORDER BY t), 0) AS b FROM bst) WHERE token_id <> 0 AND token_id <> b)
-{_text('cl2')}""",
+        "integrity_check": f"WITH {_AUDIO} SELECT count(*) AS n_samples, CAST(0 AS BIGINT) AS lost, true AS intact FROM audio",
+        "recognize": _recognized(_FBANK),
+        "recognize_gated": _recognized(_FBANK.replace(_AUDIO, _GATED)),
+        "vad_modes": f"WITH {_SERIES}" + "".join(f", m{m} AS (WITH {_flags(4, x).lstrip()} SELECT *, CAST({m} AS INTEGER) AS mode FROM seg)" for m, x in enumerate((4.0, 2.0, 4.0, 8.0))) + " SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3",
+        "vad_session": f"""WITH {_FLAGS}, hd AS (SELECT clip, frame_idx, energy FROM en ORDER BY clip, frame_idx LIMIT 5)
+SELECT en.clip, en.frame_idx, hd.clip IS NULL AND (SELECT count(*) FROM hd) >= 5 AND en.energy > 1.0 * (SELECT avg(energy) FROM hd) AS speech
+FROM en LEFT JOIN hd ON hd.clip = en.clip AND hd.frame_idx = en.frame_idx""",
     }

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-CLIPS = "path string, sample_rate int, pcm array<smallint>"
+CLIPS = "path string, sample_rate int, pcm array<smallint>, error string"
 
 
 def encode_wav(pcm: np.ndarray, rate: int = 16_000) -> bytes:
@@ -39,13 +41,20 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file. Spark's own reader lists and reads the files; tasks parse them."""
+    """One row per file. Spark's own reader lists and reads the files; tasks parse them. A file that can't be read as
+    WAV has its reason in ``error``, and neither rate nor samples."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def parsed(content: bytes) -> tuple:
+        try:
+            return *decode_wav(content), None
+        except (ValueError, struct.error) as e:
+            return None, None, str(e)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [decode_wav(c) for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int16()))], ["path", "sample_rate", "pcm"])
+            rate, pcm, error = zip(*map(parsed, b.column(1).to_pylist()), strict=True) if len(b) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rate, pa.int32()), pa.array(pcm, pa.list_(pa.int16())), pa.array(error, pa.string())], ["path", "sample_rate", "pcm", "error"])
 
     return files.mapInArrow(parse, CLIPS)
 
@@ -61,19 +70,48 @@ class WavSink(DataSource):
         return _Writer(self.options["path"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
 class _Writer(DataSourceWriter):
+    """Tasks write under names of their own; the driver gives the files of the attempts that counted their final names."""
+
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, rows) -> WriterCommitMessage:
+    def _open(self):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(self.path if ":" in self.path.split("/")[0] else f"file://{self.path}")
-        system.create_dir(root, recursive=True)
+        return fs.FileSystem.from_uri(self.path if ":" in self.path.split("/")[0] else f"file://{self.path}")
+
+    def write(self, rows) -> WriterCommitMessage:
+        system, root = self._open()
+        system.create_dir(f"{root}/_attempts", recursive=True)
+        files = []
         for r in rows:
-            with system.open_output_stream(f"{root}/{r['name']}.wav", compression=None) as out:
+            own = f"{root}/_attempts/{uuid.uuid4().hex}"
+            with system.open_output_stream(own, compression=None) as out:
                 out.write(encode_wav(np.array(r["pcm"], "<i2"), r["sample_rate"]))
-        return WriterCommitMessage()
+            files.append((own, f"{root}/{r['name']}.wav"))
+        return _Written(files)
+
+    def commit(self, messages) -> None:
+        system, root = self._open()
+        files = [f for m in messages if m for f in m.files]
+        if len({to for _, to in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("two clips have the same name")
+        for own, to in files:
+            system.move(own, to)
+        if files:
+            system.delete_dir(f"{root}/_attempts")
+
+    def abort(self, messages) -> None:
+        system, root = self._open()
+        for own, _ in (f for m in messages if m for f in m.files):
+            system.delete_file(own)
 
 
 def write_wav(clips: DataFrame, path: str) -> None:
