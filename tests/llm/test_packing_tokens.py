@@ -156,3 +156,18 @@ def test_no_documents_no_shard(spark, tmp_path):
     manifest = bitplane.write_ids(documents(spark, []), path, str(tmp_path / "ids"))
     assert manifest.count() == 0
     assert bitplane.read_ids(manifest).count() == 0
+
+
+def test_rows_that_repeat_spread_over_groups(spark):
+    """One document a thousand times, without an id: no group gets more than its random share, no piece is lost."""
+    docs = documents(spark, [(None, "one two three")] * 1000 + [(-(2**63), "least id")])
+    got = packing.pack(docs, tokenizer("byte_bpe_50k.json"), group_docs=50).collect()
+    assert len(got) == 1001 and sum(r["doc_id"] == -(2**63) for r in got) == 1
+    groups = {}
+    for r in got:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(groups) > 15 and max(groups.values()) < 150
+    path = tokenizer("word_bpe_49k.json")
+    read = bitplane.encode_decode(docs, path).collect()
+    assert sorted(str(r["doc_id"]) for r in read) == sorted(["None"] * 1000 + [str(-(2**63))])
+    assert sorted(r["start"] for r in read) == sorted({r["start"] for r in read})

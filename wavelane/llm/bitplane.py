@@ -23,7 +23,6 @@ from .tokens import encoder
 MAGIC = b"WLBP1"
 KINDS = {"byte": 8, "bit": 1}
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
-NO_ID = -(2**63)
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -66,7 +65,7 @@ class ShardWriter:
         self.fs.create_dir(self.to.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.part, compression=None)
         self.at, self.chunks, self.held, self.n_held = 0, [], [], 0
-        self.keys, self.lengths = [], []
+        self.keys, self.lengths, self.n_null = [], [], 0
         self._put(MAGIC + bytes([KINDS[kind]]))
 
     def _put(self, data: bytes) -> int:
@@ -75,7 +74,11 @@ class ShardWriter:
         return len(data)
 
     def add(self, key: int | None, ids: bytes) -> None:
-        self.keys.append(NO_ID if key is None else key)
+        if key is None:
+            if self.n_null < len(self.keys):
+                raise ValueError("documents without an id come first")
+            self.n_null += 1
+        self.keys.append(key or 0)
         self.lengths.append(len(ids) // 4)
         self.held.append(ids)
         self.n_held += len(ids) // 4
@@ -95,7 +98,7 @@ class ShardWriter:
             self._chunk(np.frombuffer(b"".join(self.held), "<u4"))
         at = self.at
         sizes = [self._put(self.pack(np.array(x, "<i8").tobytes())) for x in (self.keys, self.lengths)]
-        index = json.dumps({"docs": {"n": len(self.keys), "at": at, "sizes": sizes}, "chunks": self.chunks}).encode()
+        index = json.dumps({"docs": {"n": len(self.keys), "null": self.n_null, "at": at, "sizes": sizes}, "chunks": self.chunks}).encode()
         self._put(index)
         self._put(len(index).to_bytes(8, "little"))
         self.out.close()
@@ -140,7 +143,7 @@ class ShardReader:
     def each(self) -> Iterator[tuple[int | None, bytes]]:
         """The documents in order with their ids; holds a chunk and a document at a time."""
         held, k, at = np.zeros(0, "<u4"), 0, 0
-        for key, n in zip(*(x.tolist() for x in self.documents()), strict=True):
+        for i, (key, n) in enumerate(zip(*(x.tolist() for x in self.documents()), strict=True)):
             parts = []
             while n > len(held) - at:
                 parts.append(held[at:])
@@ -148,7 +151,7 @@ class ShardReader:
                 held, at, k = self.chunk(k), 0, k + 1
             parts.append(held[at : at + n])
             at += n
-            yield None if key == NO_ID else key, b"".join(p.tobytes() for p in parts)
+            yield None if i < self.index["docs"]["null"] else key, b"".join(p.tobytes() for p in parts)
 
     def close(self) -> None:
         self.file.close()
@@ -157,8 +160,9 @@ class ShardReader:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, planes: str = "byte", chunk_ids: int = 65_536) -> DataFrame:
     """Encodes every text and writes shards under ``path`` in ascending order of doc_id; returns the manifest.
 
-    Null text: only the end id. Null doc_id: first. Repeated doc_ids: all kept, in order of their texts. An empty table: no shard.
-    The documents are dealt by ranges of doc_id, one shard a partition. The manifest has a row a shard, so it is
+    Null text: only the end id. Null doc_id: first. Repeated doc_ids: all kept, in order of their texts' first 64
+    characters, then of their place in the table. An empty table: no shard. The documents are dealt by ranges of these
+    three, so that rows that repeat an id or each other can be split; one shard a partition. The manifest has a row a shard, so it is
     as small as a list of output files; that list is what the driver sees."""
     spark = docs.sparkSession
 
@@ -177,8 +181,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, plane
             n_docs, n_ids, n_bytes = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [out.path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [n_bytes]})
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = dealt.mapInArrow(write, MANIFEST).collect()
+    order = [F.col("doc_id").asc_nulls_first(), "__h", "__row"]
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.substring("text", 1, 64).alias("__h"), F.monotonically_increasing_id().alias("__row"))
+    rows = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, MANIFEST).collect()
     return spark.createDataFrame(sorted(map(tuple, rows)), MANIFEST)
 
 
