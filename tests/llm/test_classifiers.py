@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -257,6 +258,43 @@ def test_whole_licence_texts_declare(spark):
     assert all(r["declares"] for r in got if r["want"] and not r["path"].endswith("x.txt"))
 
 
+def test_scan_equals_sql_without_pruning(spark, tmp_path):
+    """The SQL scores every window of every run: neither gate of the scan loses one."""
+    import duckdb
+
+    rng = random.Random(5)
+    pieces = [t.split() for _, t in licenses.TEMPLATES]
+    prose = "the river ran to the sea and all of it was so good that you can do as you like in any town".split()
+    texts = [t for _, t, _ in WRAPPED] + [t for _, t in FILES]
+    for _ in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            p = rng.choice(pieces)
+            lines.append(rng.choice(["", "# ", "dnl ", " * "]) + " ".join(rng.choice([p[rng.randrange(len(p)) :], p[: rng.randint(1, 12)], rng.choices(prose, k=rng.randint(0, 9))])))
+        texts.append("\n".join(lines))
+    texts.append((licenses.TEXTS / "MIT.txt").read_text(encoding="utf-8"))
+    texts.append(" ".join(prose) * 20_000)
+    rows = [(i, t, rng.choice(["a", "a/b", "c", None]), rng.choice(["en", None])) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = ("doc_id", "path", "own", "score", "declares", "license", "found_in")
+    want = sorted(con.execute(f"SELECT {', '.join(key)} FROM ({queries.license_sql()})").fetchall())
+    got = sorted(tuple(r[k] for k in key) for r in queries.op7_licenses(spark, str(tmp_path)).collect())
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-9)
+    assert sum(g[2] is not None for g in got) > 50
+
+
+def test_anchors_are_needed():
+    """What is left of a template without the anchors stays under the threshold."""
+    parts, n = licenses.shares()
+    rare = set(licenses.anchors())
+    for i in range(n):
+        assert sum(x[i] for x in parts.values()) == pytest.approx(1)
+        assert math.sqrt(sum(x[i] for t, x in parts.items() if t not in rare)) < licenses.THRESHOLD
+
+
 def test_every_template_finds_itself(spark):
     rows = [(i, None, t, name) for i, (name, t) in enumerate(licenses.TEMPLATES)]
     got = licenses.scan(spark.createDataFrame(rows, "i int, path string, text string, want string")).collect()

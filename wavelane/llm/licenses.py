@@ -59,9 +59,9 @@ TEMPLATES = (
 )
 #: Whole licence texts by SPDX identifier, for files named as licence files.
 TEXTS = Path(__file__).parent / "license_texts"
-#: A notice is a line, or consecutive lines read as one, that holds one of these words and reaches THRESHOLD; every
-#: template holds one.
-ANCHORS = ("license", "licensed", "licence", "spdx", "permission", "redistribution", "domain")
+#: Words that say that a line is a notice at all; they weigh more than their frequency among notices.
+KEYWORDS = ("license", "licensed", "licence", "spdx", "permission", "redistribution", "domain")
+#: A notice is a line, or consecutive lines read as one, with this cosine to a template.
 THRESHOLD = 0.72
 #: A whole text must be so near to a licence text.
 FULL_THRESHOLD = 0.85
@@ -84,8 +84,8 @@ def weights(full: bool = False) -> tuple[str, str, float]:
     counts = [Counter(terms(t)) for _, t in of]
     n = len(counts)
     idf = {t: 1 + math.log((1 + n) / (1 + sum(t in c for c in counts))) for t in sorted(set().union(*counts))}
-    if not full:  # anchors say that a line is a notice at all, so they weigh more than their frequency among notices
-        idf |= dict.fromkeys(ANCHORS, 4.0)
+    if not full:
+        idf |= dict.fromkeys(KEYWORDS, 4.0)
     vectors = []
     for (name, _), c in zip(of, counts, strict=True):
         length = math.sqrt(sum((m * idf[t]) ** 2 for t, m in c.items()))
@@ -108,6 +108,48 @@ def _by_term(full: bool) -> tuple[str, str, float, int]:
     return json.dumps(rows), json.dumps([v["license"] for v in templates]), unknown, len(templates)
 
 
+@cache
+def shares() -> tuple[dict, int]:
+    """Of each term, its part of each template's squared length (nothing: 0); the number of templates.
+
+    By Cauchy and Schwarz, a text's cosine to a template is at most the root of the sum of the parts that the terms
+    they share hold."""
+    vectors, idf, _ = weights()
+    templates, held = json.loads(vectors), json.loads(idf)
+    out: dict = {}
+    for i, v in enumerate(templates):
+        squares = {x["t"]: (x["w"] / held[x["t"]]) ** 2 for x in v["parts"]}
+        for t, q in squares.items():
+            out.setdefault(t, [0.0] * len(templates))[i] = q
+    return out, len(templates)
+
+
+@cache
+def anchors(threshold: float = THRESHOLD) -> tuple[str, ...]:
+    """Terms of which every text that reaches ``threshold`` holds at least one: of each template the rarest among
+    templates, until the others hold less than the squared threshold of its squared length."""
+    parts, n = shares()
+    idf, found = json.loads(weights()[1]), set()
+    for i in range(n):
+        mine = {t: x[i] for t, x in parts.items() if x[i]}
+        left = sum(q for t, q in mine.items() if t not in found)
+        for t in sorted(set(mine) - found, key=lambda t: (-idf[t], t)):
+            if left < threshold**2 - 1e-6:
+                break
+            found.add(t)
+            left -= mine[t]
+    return tuple(sorted(found))
+
+
+def can_match(words: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether a text with these terms, or a part of it, can reach ``threshold``; see :func:`shares`."""
+    parts, n = shares()
+    table = F.from_json(F.lit(json.dumps(parts)), "map<string, array<double>>")
+    known = F.array_intersect(words, F.from_json(F.lit(json.dumps(sorted(parts))), "array<string>"))
+    total = F.aggregate(known, F.array_repeat(F.lit(0.0), n), lambda s, t: F.zip_with(s, F.element_at(table, t), lambda a, b: a + b))
+    return F.exists(total, lambda x: x >= threshold**2 - 1e-6)
+
+
 def words_in(line: Column) -> Column:
     """The terms of a line."""
     return F.filter(F.split(F.lower(line), SPLIT), lambda t: t != "")
@@ -153,36 +195,45 @@ def notices(text: Column, threshold: float = THRESHOLD) -> Column:
     """The lines of a text that match a template, and so do consecutive lines read as one: (at, n, score, license),
     ``n`` lines from the one numbered ``at``, from 1.
 
-    A line without letters and digits, as of comment marks alone, ends a run. Read as one are a run with an anchor, and
-    within it SIZES lines around an anchor, as long as there is not twice what the longest template holds."""
+    A line without letters and digits, as of comment marks alone, ends a run. Read as one are a run, and within it SIZES
+    lines, as long as there is not twice what the longest template holds. Scored are only those of runs that
+    :func:`can_match`, with one of :func:`anchors`; no others reach the threshold."""
     longest = 2 * max(len(terms(t)) for _, t in TEMPLATES)
     shift = 1 << 31
-    has_anchor = r"(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
+    rare = F.from_json(F.lit(json.dumps(anchors(threshold))), "array<string>")
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, MARKS, ""))
+    nothing = F.array().cast("array<bigint>")
 
     def found(z: Column) -> Column:
         held, size = z["lines"], F.size(z["lines"])
-        where = lambda hit: F.filter(F.transform(held, lambda x, i: F.when(hit(x), i + 1)), lambda i: i.isNotNull())
-        anchored = where(lambda x: F.lower(x["line"]).rlike(has_anchor))
-        gaps = F.concat(F.array(F.lit(0)), where(lambda x: ~x["line"].rlike(r"[\p{L}\p{N}]")), F.array(size + 1))
+        gaps = F.concat(F.array(F.lit(0)), F.filter(F.transform(held, lambda x, i: F.when(~x["line"].rlike(r"[\p{L}\p{N}]"), i + 1)), lambda i: i.isNotNull()), F.array(size + 1))
+
+        def runs_of(g: Column) -> Column:
+            every = F.transform(g, lambda a, k: F.struct((a + 1).alias("first"), F.coalesce(F.get(g, k + 1), a + 1).alias("end")))
+            return F.filter(every, lambda r: (r["end"] > r["first"]) & can_match(words_of(r["first"], r["end"] - r["first"]), threshold))
+
+        def words_of(at: Column, n: Column) -> Column:
+            return F.flatten(F.transform(F.slice(held, at, n), lambda x: x["words"]))
+
+        def windows(r: Column) -> Column:
+            """Keys of the run and of the windows around its lines with an anchor."""
+            first, end = r["first"], r["end"]
+            hits = F.filter(F.transform(F.slice(held, first, end - first), lambda x, i: F.when(F.arrays_overlap(x["words"], rare), first + i)), lambda a: a.isNotNull())
 
-        def around(a: Column, first: Column, end: Column) -> Column:
-            """Keys of the windows around an anchored line in the run from ``first`` to before ``end``."""
-            starts = lambda n: F.when(F.least(a, end - n) >= F.greatest(a - n + 1, first), F.sequence(F.greatest(a - n + 1, first), F.least(a, end - n))).otherwise(F.array().cast("array<int>"))
-            several = F.flatten(F.transform(F.array(*map(F.lit, SIZES)), lambda n: F.transform(starts(n), lambda s: s.cast("long") * shift + n)))
-            return F.concat(several, F.array(first.cast("long") * shift + (end - first)))
+            def around(a: Column) -> Column:
+                starts = lambda n: F.when(F.least(a, end - n) >= F.greatest(a - n + 1, first), F.sequence(F.greatest(a - n + 1, first), F.least(a, end - n))).otherwise(F.array().cast("array<int>"))
+                return F.flatten(F.transform(F.array(*map(F.lit, SIZES)), lambda n: F.transform(starts(n), lambda s: s.cast("long") * shift + n)))
 
-        def windows(g: Column) -> Column:
-            of = lambda a: _let(F.struct((F.array_max(F.filter(g, lambda x: x < a)) + 1).alias("first"), F.array_min(F.filter(g, lambda x: x > a)).alias("end")), lambda r: F.struct(r["first"].alias("first"), r["end"].alias("end"), around(a, r["first"], r["end"]).alias("keys")))
-            return F.array_distinct(F.flatten(F.transform(anchored, lambda a: of(a)["keys"])))
+            return F.concat(nothing, F.flatten(F.transform(hits, around)), F.array(first.cast("long") * shift + (end - first)))
 
         def scored(key: Column) -> Column:
             at, n = (key / shift).cast("int"), (key % shift).cast("int")
-            return F.struct(at.alias("at"), n.alias("n"), F.flatten(F.transform(F.slice(held, at, n), lambda x: x["words"])).alias("words"))
+            return F.struct(at.alias("at"), n.alias("n"), words_of(at, n).alias("words"))
 
         # A window is too long if it is still so without its first line: a long line before a notice is no reason.
         fits = lambda key: (key % shift == 1) | (F.aggregate(F.slice(held, (key / shift).cast("int") + 1, (key % shift).cast("int") - 1), F.lit(0), lambda t, x: t + F.size(x["words"])) <= longest)
-        each = F.transform(F.filter(_let(gaps, windows), fits), lambda k: _let(scored(k), lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), best_match(w["words"]).alias("b"))))
+        keys = F.array_distinct(F.flatten(F.transform(_let(gaps, runs_of), windows)))
+        each = F.transform(F.filter(keys, fits), lambda k: _let(scored(k), lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), best_match(w["words"]).alias("b"))))
         hits = F.filter(each, lambda s: s["b"]["s"] <= -threshold)
         return F.transform(hits, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), (-s["b"]["s"]).alias("score"), s["b"]["license"].alias("license")))
 
@@ -204,7 +255,7 @@ def scan(files: DataFrame, share: float = 0.5) -> DataFrame:
     directories split."""
     names = ("own", "score", "declares", "license", "found_in")
     rows = files.drop(*names, "__dir", "__notices", "__whole")
-    rows = rows.withColumn("__notices", F.when(F.lower("text").rlike("|".join(ANCHORS)), notices(F.col("text"))).otherwise(F.lit(None)))
+    rows = rows.withColumn("__notices", F.when(can_match(F.split(F.lower("text"), SPLIT)), notices(F.col("text"))).otherwise(F.lit(None)))
     named = F.coalesce(F.lower(F.col("path")).rlike(r"(?:\A|/)(?:licen[cs]e|copying|notice)[^/]*\z"), F.lit(False))
     whole = F.filter(F.array(best_match(words_in(F.col("text")), full=True)), lambda b: b["s"] <= -FULL_THRESHOLD)
     rows = rows.withColumn("__whole", F.when(named & F.col("text").isNotNull(), whole))

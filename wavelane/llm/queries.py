@@ -68,6 +68,56 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_bitplane, op3_pii, op4_mixing, op5_topk, op6_quality, op7_licenses, op8_toxicity, op9_urls, op10_similarity)}
 
 
+def license_sql() -> str:
+    """All windows of all runs of lines against all templates, without any pruning. No path of the query names a licence
+    file, so that whole licence texts play no part."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    sizes = ", ".join(map(str, licenses.SIZES))
+    keys = ", ".join(map(quoted, licenses.KEYWORDS))
+    return rf"""
+WITH tpl(k, license, t) AS (VALUES {rows}
+), tw AS (
+  SELECT k, license, term, count(*) AS m FROM (SELECT k, license, unnest(regexp_extract_all(lower(t), '(?:[a-z0-9]|\.[0-9])+')) AS term FROM tpl) GROUP BY ALL
+), idf AS (
+  SELECT term, CASE WHEN term IN ({keys}) THEN 4.0::DOUBLE ELSE 1 + ln((1 + (SELECT count(*) FROM tpl))::DOUBLE / (1 + count(*))) END AS v FROM tw GROUP BY term
+), vec AS (SELECT k, license, term, m * v * v / sqrt(sum((m * v) ** 2) OVER (PARTITION BY k)) AS w FROM tw JOIN idf USING (term)
+), l0 AS (
+  SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), l1 AS (SELECT doc_id, i, raw, regexp_replace(raw, '(?i)^\s*(?:dnl|rem)($|[^\p{{L}}\p{{N}}])', '\1') AS line FROM l0
+), l2 AS (
+  SELECT *, regexp_extract_all(lower(line), '(?:[a-z0-9]|\.[0-9])+') AS words, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n_words,
+    regexp_matches(line, '[\p{{L}}\p{{N}}]') AS held FROM l1
+), l3 AS (SELECT *, sum((NOT held)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l2
+), l AS (SELECT doc_id, i, words, min(i) OVER r AS first, max(i) OVER r + 1 AS stop FROM l3 WHERE held WINDOW r AS (PARTITION BY doc_id, run)
+), win AS (
+  SELECT doc_id, i AS pos, n FROM l, (SELECT unnest([{sizes}])::BIGINT AS n) WHERE i + n <= stop
+  UNION SELECT doc_id, first, stop - first FROM l
+), fit AS (
+  SELECT win.doc_id, pos, n FROM win JOIN l ON l.doc_id = win.doc_id AND l.i >= pos AND l.i < pos + n GROUP BY ALL
+  HAVING n = 1 OR coalesce(sum(len(words)) FILTER (i > pos), 0) <= (SELECT 2 * max(c) FROM (SELECT sum(m) AS c FROM tw GROUP BY k))
+), c AS (
+  SELECT doc_id, pos, n, term, count(*) AS m
+  FROM (SELECT fit.doc_id, pos, n, unnest(words) AS term FROM fit JOIN l ON l.doc_id = fit.doc_id AND l.i >= pos AND l.i < pos + n) GROUP BY ALL
+), size AS (SELECT doc_id, pos, n, sqrt(sum((m * coalesce(v, 1 + ln(1.0::DOUBLE + (SELECT count(*) FROM tpl)))) ** 2)) AS size FROM c LEFT JOIN idf USING (term) GROUP BY ALL
+), dot AS (SELECT doc_id, pos, n, k, license, sum(m * w) AS dot FROM c JOIN vec USING (term) GROUP BY ALL
+), hit AS (
+  SELECT doc_id, pos, n, license, round(dot / size, 9) AS score FROM dot JOIN size USING (doc_id, pos, n) WHERE round(dot / size, 9) >= {licenses.THRESHOLD}
+), best AS (SELECT doc_id, arg_min(license, (-score, license)) AS own, max(score) AS score FROM hit GROUP BY doc_id
+), part AS (SELECT l2.doc_id, sum(n_words) FILTER (EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = l2.doc_id AND i >= pos AND i < pos + n)) AS covered, sum(n_words) AS n_words FROM l2 SEMI JOIN hit USING (doc_id) GROUP BY l2.doc_id
+), f AS (
+  SELECT d.doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CAST(d.doc_id AS VARCHAR)) AS path, own, score,
+    own IS NOT NULL AND 2 * covered >= part.n_words AS declares FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN part USING (doc_id)
+), g AS (SELECT *, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir FROM f
+), stated AS (SELECT dir, arg_min(own, (-n, own)) AS license FROM (SELECT dir, own, count(*) AS n FROM g WHERE declares GROUP BY ALL) GROUP BY dir
+), near AS (
+  SELECT d.dir, max_by(s.dir, length(s.dir)) AS above, max_by(s.license, length(s.dir)) AS license
+  FROM (SELECT DISTINCT dir FROM g) d JOIN stated s ON starts_with(d.dir || '/', s.dir || '/') OR s.dir = '' GROUP BY d.dir
+)
+SELECT doc_id, path, own, score, declares, coalesce(own, near.license) AS license, CASE WHEN own IS NULL THEN near.above END AS found_in FROM g LEFT JOIN near USING (dir)
+"""
+
+
 ORACLE_SQL = {
     "op5_topk": """
 WITH v AS (
@@ -176,4 +226,5 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score <= cut, true) AS kept
 FROM b LEFT JOIN cuts ON cuts.lang = coalesce(b.lang, '-')
 """,
+    "op7_licenses": license_sql(),
 }
