@@ -126,14 +126,14 @@ def shares() -> tuple[dict, int]:
 
 @cache
 def anchors(threshold: float = THRESHOLD) -> tuple[str, ...]:
-    """Terms of which every text that reaches ``threshold`` holds at least one: of each template the rarest among
-    templates, until the others hold less than the squared threshold of its squared length."""
+    """Terms of which every text that reaches ``threshold`` holds at least one: of each template the longest (long
+    words are rare in other texts), until the others hold less than the squared threshold of its squared length."""
     parts, n = shares()
-    idf, found = json.loads(weights()[1]), set()
+    found: set = set()
     for i in range(n):
         mine = {t: x[i] for t, x in parts.items() if x[i]}
         left = sum(q for t, q in mine.items() if t not in found)
-        for t in sorted(set(mine) - found, key=lambda t: (-idf[t], t)):
+        for t in sorted(set(mine) - found, key=lambda t: (-len(t), t)):
             if left < threshold**2 - 1e-6:
                 break
             found.add(t)
@@ -141,6 +141,10 @@ def anchors(threshold: float = THRESHOLD) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def has_anchor(words: Column, threshold: float = THRESHOLD) -> Column:
+    return F.arrays_overlap(words, F.from_json(F.lit(json.dumps(anchors(threshold))), "array<string>"))
+
+
 def can_match(words: Column, threshold: float = THRESHOLD) -> Column:
     """Whether a text with these terms, or a part of it, can reach ``threshold``; see :func:`shares`."""
     parts, n = shares()
@@ -200,7 +204,6 @@ def notices(text: Column, threshold: float = THRESHOLD) -> Column:
     :func:`can_match`, with one of :func:`anchors`; no others reach the threshold."""
     longest = 2 * max(len(terms(t)) for _, t in TEMPLATES)
     shift = 1 << 31
-    rare = F.from_json(F.lit(json.dumps(anchors(threshold))), "array<string>")
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, MARKS, ""))
     nothing = F.array().cast("array<bigint>")
 
@@ -218,7 +221,7 @@ def notices(text: Column, threshold: float = THRESHOLD) -> Column:
         def windows(r: Column) -> Column:
             """Keys of the run and of the windows around its lines with an anchor."""
             first, end = r["first"], r["end"]
-            hits = F.filter(F.transform(F.slice(held, first, end - first), lambda x, i: F.when(F.arrays_overlap(x["words"], rare), first + i)), lambda a: a.isNotNull())
+            hits = F.filter(F.transform(F.slice(held, first, end - first), lambda x, i: F.when(has_anchor(x["words"], threshold), first + i)), lambda a: a.isNotNull())
 
             def around(a: Column) -> Column:
                 starts = lambda n: F.when(F.least(a, end - n) >= F.greatest(a - n + 1, first), F.sequence(F.greatest(a - n + 1, first), F.least(a, end - n))).otherwise(F.array().cast("array<int>"))
@@ -240,7 +243,7 @@ def notices(text: Column, threshold: float = THRESHOLD) -> Column:
     return _let(F.struct(F.transform(lines, lambda x: F.struct(x.alias("line"), words_in(x).alias("words"))).alias("lines")), found)
 
 
-def scan(files: DataFrame, share: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, share: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``files`` (path, text, any others) with: own (licence of its best notice), score, declares (whether it is a
     licence file: named LICENSE or COPYING, or notices are at least ``share`` of its words; of a file so named, the
     whole text is compared with licence texts as well), license (own, or else
@@ -248,26 +251,33 @@ def scan(files: DataFrame, share: float = 0.5) -> DataFrame:
 
     A directory's licence is the one most of its licence files declare, ties to the smaller identifier. Null text:
     no notice. Null path: nothing to inherit, and nothing declared. Repeated rows: each gets its result. Empty
-    table: no rows. Columns of ``files`` with the names above are replaced.
+    table: no rows. Columns of ``files`` with the names above are replaced. ``keep`` names the columns of ``files`` that
+    are returned (all, if none are named).
+
+    Texts are scored once: the columns to return are written with what was found.
 
     Directories are summed up by task before they meet; each distinct directory looks at those above it by joins on
     paths, and the files join their directory's result, which is broadcast if small and else joined with hot
     directories split."""
     names = ("own", "score", "declares", "license", "found_in")
     rows = files.drop(*names, "__dir", "__notices", "__whole")
-    rows = rows.withColumn("__notices", F.when(can_match(F.split(F.lower("text"), SPLIT)), notices(F.col("text"))).otherwise(F.lit(None)))
+    words = F.split(F.lower("text"), SPLIT)
+    rows = rows.withColumn("__notices", F.when(has_anchor(words) & can_match(words), notices(F.col("text"))).otherwise(F.lit(None)))
     named = F.coalesce(F.lower(F.col("path")).rlike(r"(?:\A|/)(?:licen[cs]e|copying|notice)[^/]*\z"), F.lit(False))
     whole = F.filter(F.array(best_match(words_in(F.col("text")), full=True)), lambda b: b["s"] <= -FULL_THRESHOLD)
     rows = rows.withColumn("__whole", F.when(named & F.col("text").isNotNull(), whole))
     found = F.transform("__notices", lambda x: F.struct((-x["score"]).alias("s"), x["license"].alias("license")))
     none = F.array().cast("array<struct<s double, license string>>")
     rows = rows.withColumn("__best", F.array_min(F.concat(F.coalesce(found, none), F.coalesce(F.col("__whole"), none))))
-    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    n_words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     covered = F.array_distinct(F.flatten(F.transform("__notices", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
-    part = _let(F.split("text", "\n"), lambda ls: F.aggregate(covered, F.lit(0), lambda s, i: s + words(F.element_at(ls, i))))
-    declares = F.when(F.col("__best").isNull() | F.col("path").isNull(), F.lit(False)).otherwise(named | F.coalesce(part >= share * words(F.col("text")), F.lit(False)))
+    part = _let(F.split("text", "\n"), lambda ls: F.aggregate(covered, F.lit(0), lambda s, i: s + n_words(F.element_at(ls, i))))
+    declares = F.when(F.col("__best").isNull() | F.col("path").isNull(), F.lit(False)).otherwise(named | F.coalesce(part >= share * n_words(F.col("text")), F.lit(False)))
     rows = rows.withColumn("own", F.col("__best.license")).withColumn("score", -F.col("__best.s")).withColumn("declares", declares)
     rows = rows.withColumn("__dir", F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)).drop("__notices", "__best", "__whole")
+    if keep is not None:
+        rows = rows.select(*(k for k in keep if k not in names), *names[:3], "__dir")
+    rows = written(rows, "license-rows")
 
     stated = rows.where("declares").groupBy("__dir", "own").agg(F.count("*").alias("n"))
     pick = F.row_number().over(Window.partitionBy("__dir").orderBy(F.col("n").desc(), "own"))  # a row a licence

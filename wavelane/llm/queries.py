@@ -48,7 +48,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as the file source/lang/doc_id: its own notice's licence, or the one it inherits."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return licenses.scan(files).select("doc_id", "path", "own", "score", "declares", "license", "found_in")
+    return licenses.scan(files, keep=("doc_id", "path")).select("doc_id", "path", "own", "score", "declares", "license", "found_in")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
