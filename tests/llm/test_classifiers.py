@@ -190,12 +190,14 @@ def test_hosts_paths_and_rules(spark):
     assert urls.judge(pages.where("false")).collect() == []
 
 
-def test_url_model_on_unseen_urls(spark):
-    bad = ["https://casino-win.example/slots/1", "http://cheap-pills.example/buy/2", "https://adult-xxx.example/en/3", "https://free-bets.example/odds", "http://spam-farm.example/en/8"]
-    good = ["https://www.library.example/catalog/4", "https://blog.garden.example/en/99", "https://news.example/fr/12.html", "https://history-museum.example/es/3", "https://www.weather.example/de/7/"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
-    assert [got[i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
+def test_url_model_on_urls_it_did_not_learn(spark):
+    """Each labelled url judged without its fold: far better than to allow all, and few ordinary urls are blocked."""
+    rows = urls.labelled()
+    assert len({slow_host_path(u)[0] for u, _ in rows}) == len(rows)
+    precision, recall, accuracy = urls.cross_validate(spark, folds=3)
+    print(f"url model, cross-validated: precision {precision:.3f}, recall {recall:.3f}, accuracy {accuracy:.3f}")
+    assert precision >= 0.85 and recall >= 0.5
+    assert accuracy >= sum(y == 0 for _, y in rows) / len(rows) + 0.15
 
 
 FILES = [
