@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, infill, licenses, mixing, packing, pii, quality, similarity, topk, toxicity, urls
+from . import bitplane, infill, lexical, licenses, mixing, packing, pii, quality, similarity, topk, toxicity, urls
 from .common import table
 
 
@@ -64,13 +64,17 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = infill.transform(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_bitplane, op3_pii, op4_mixing, op5_topk, op6_quality, op7_licenses, op8_toxicity, op9_urls, op10_similarity, op13_infill)}
+    return {f.__name__: f for f in (op1_packing, op2_bitplane, op3_pii, op4_mixing, op5_topk, op6_quality, op7_licenses, op8_toxicity, op9_urls, op10_similarity, op12_lexical, op13_infill)}
 
 
 def license_sql() -> str:
@@ -232,6 +236,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN cuts ON cuts.lang = coalesce(b.lang, '-')
 """,
     "op7_licenses": license_sql(),
+    "op12_lexical": r"""
+WITH d AS (
+  SELECT doc_id, ts, len(ts) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents) WHERE len(ts) > 0
+), q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d
+), p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL
+), w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w, n_docs, n_terms FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN q USING (term) GROUP BY item_id, doc_id
+), k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20
+""",
     "op13_infill": r"""
 WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
 ), n AS (
