@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, infill, lexical, licenses, mixing, packing, pii, quality, similarity, topk, toxicity, urls
+from . import bitplane, infill, lexical, licenses, mixing, packing, pii, quality, rulefit, similarity, topk, toxicity, urls
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulefit.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,7 +78,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_bitplane, op3_pii, op4_mixing, op5_topk, op6_quality, op7_licenses, op8_toxicity, op9_urls, op10_similarity, op12_lexical, op13_infill)}
+    return {f.__name__: f for f in (op1_packing, op2_bitplane, op3_pii, op4_mixing, op5_topk, op6_quality, op7_licenses, op8_toxicity, op9_urls, op10_similarity, op11_rules, op12_lexical, op13_infill)}
 
 
 def license_sql() -> str:
