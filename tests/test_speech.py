@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavelane.functions import metrics
-from wavelane.operators import decode, signal, vad
+from wavelane.operators import blocks, decode, signal, vad
 from wavelane.plans.recognize import LinearScorer, recognize
 from wavelane.profile import Profile
 from wavelane.sources.vocab import parse_vocab, read_vocab
@@ -38,12 +39,12 @@ def test_blocks_of_a_clip_join_without_a_seam(spark):
     for block in (1, 2, 64):
         got = {(r["clip"], r["pos"]): r["y"] for r in signal.pre_emphasis(df, block=block).collect()}
         assert got == pytest.approx(want)
-    p = Profile(frame=10, hop=4)
+    p = Profile(frame=10, hop=4, vad_frame=4)
     w = np.array(signal.hamming(p))
     frame = lambda c, f: [want[c, 4 * f + i] * w[i] for i in range(10)]
     every = {(c, f): frame(c, f) for c, x in clips.items() for f in range((len(x) - 10) // 4 + 1 if len(x) >= 10 else 0)}
-    for per_block in (1, 2, 7, 64):
-        got = {(r["clip"], r["frame_idx"]): r["frame"] for r in signal.frame_arrays(df, p, per_block=per_block).collect()}
+    for block in (1, 16, 28, 64):
+        got = {(r["clip"], r["frame_idx"]): r["frame"] for r in signal.frame_arrays(df, replace(p, block=block)).collect()}
         assert set(got) == set(every)
         assert all(got[k] == pytest.approx(every[k]) for k in every)
 
@@ -200,7 +201,8 @@ def test_session_calibration_reuses_the_first_frames(spark):
 def test_segment_concat_renumbers(spark):
     x = samples(spark, {1: range(10_000)})
     found = spark.createDataFrame([(1, 0, 5, 8), (1, 1, 4000, 4100)], "clip long, seg_id int, start_sample long, end_sample long")
-    got = vad.segment_concat(x, found).orderBy("pos").collect()
+    size = blocks.block_size(Profile())
+    got = blocks.as_samples(blocks.as_blocks(vad.segment_concat(x, found), size), size).orderBy("pos").collect()
     assert [r["pos"] for r in got] == list(range(103))
     assert [r["sample"] for r in got] == [5, 6, 7, *range(4000, 4100)]
     counts = vad.segment_counts(x, found.where("clip < 0")).collect()

@@ -46,7 +46,7 @@ def recognize(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Profile =
 
     With ``gate`` only speech goes on to features and scores, its segments joined first."""
     clips = samples.select("clip").distinct()
-    speech = vad.segment_concat(samples, vad.segments(samples, p)) if gate else samples
+    speech = vad.segment_concat(samples, vad.segments(samples, p), p) if gate else samples
     logits = scorer.score(signal.fbank(speech, p))
     found = decode.decode(logits, vocab, p.blank_id, p.beam_size)
     return clips.join(found, "clip", "left").na.fill({"text": "", "n_tokens": 0}).select("clip", "text", "n_tokens")
@@ -68,7 +68,7 @@ def stage_times(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Profile
         kept.append(df)
         return df
 
-    speech = stage(vad.segment_concat(samples, vad.segments(samples, p)))
+    speech = stage(vad.segment_concat(samples, vad.segments(samples, p), p))
     features = stage(signal.fbank(speech, p))
     logits = stage(scorer.score(features))
     stage(decode.decode(logits, vocab, p.blank_id, p.beam_size))

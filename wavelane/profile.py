@@ -20,6 +20,7 @@ class Profile:
     factor: float | None = None  # overrides the factor of ``mode``
     blank_id: int = 0
     beam_size: int = 1
+    block: int = 65_536  # samples in a block of a clip, about
 
     @property
     def vad_factor(self) -> float:

@@ -5,8 +5,6 @@ Signals come from the tables: E = embeddings as audio per label, V = event value
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -14,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics
-from .operators import decode, signal, vad
+from .operators import blocks, decode, signal, vad
 from .plans.recognize import LinearScorer, recognize, stage_times
 from .profile import Profile
+from .shared import shared_path
 from .sources.vocab import parse_vocab
 from .sources.wav import read_wav, write_wav
 
@@ -36,6 +35,13 @@ def audio(spark, sf):
     return rows.select("clip", (F.col("r") * 64 + F.col("i")).cast("long").alias("pos"), F.floor(F.col("e").cast("double") * 32767).cast("long").alias("sample"))
 
 
+def audio_pieces(spark, sf):
+    """:func:`audio` without single samples: each vector is a piece of its clip."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    pcm = F.transform("embedding", lambda e: F.floor(e.cast("double") * 32767).cast("long"))
+    return read(spark, sf, "embeddings").select(F.col("label").alias("clip"), (rank * 64).cast("long").alias("at"), pcm.alias("pcm"))
+
+
 def series(spark, sf):
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return read(spark, sf, "events").select(F.col("user_id").alias("clip"), pos.cast("long").alias("pos"), F.col("value").alias("sample"))
@@ -62,20 +68,10 @@ def _segments(spark, sf):
     return vad.segments(series(spark, sf), SHORT)
 
 
-def _shared(spark) -> str:
-    """A new folder that all executors share; without spark.checkpoint.dir, a temporary one of this machine in local mode."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="wavelane-")
-    return f"{top.rstrip('/')}/wav-{uuid.uuid4().hex}"
-
-
 def _wav(spark, sf):
     """Each clip written as a WAV file by the sink and read back by the source."""
     clips = audio(spark, sf).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pos", "sample"))).alias("s"))
-    path = _shared(spark)
+    path = shared_path(spark, "wav")
     write_wav(clips.select(F.col("clip").cast("string").alias("name"), F.lit(16_000).alias("sample_rate"), F.col("s.sample").cast("array<smallint>").alias("pcm")), path)
     rows = read_wav(spark, path).where("error IS NULL").withColumn("clip", F.regexp_extract("path", r"([^/]*)\.wav\z", 1).cast("int"))
     return rows.select("clip", "sample_rate", F.posexplode("pcm").alias("pos", "sample")).select("clip", "sample_rate", F.col("pos").cast("long").alias("pos"), F.col("sample").cast("long").alias("sample"))
@@ -88,14 +84,20 @@ def _integrity(spark, sf):
 
 
 def _by_mode(spark, sf):
-    """Segments under each mode's factor."""
-    out = None
+    """Segments under each mode's factor, over energies that are worked out once."""
+    measured, out = vad.energies(series(spark, sf), SHORT), None
     for mode in range(4):
-        found = vad.segments(series(spark, sf), replace(SHORT, factor=None, mode=mode)).withColumn("mode", F.lit(mode))
+        p = replace(SHORT, factor=None, mode=mode)
+        found = vad.segments_of(vad.flagged(measured, p), p).drop("before").withColumn("mode", F.lit(mode))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _joined(spark, sf):
+    size = blocks.block_size(SHORT)
+    return blocks.as_samples(blocks.as_blocks(vad.segment_concat(series(spark, sf), _segments(spark, sf), SHORT), size), size)
+
+
 WEIGHTS = np.array([[((m * 7 + v * 13) % 17 - 8) / 8.0 for v in range(64)] for m in range(80)])
 
 
@@ -112,28 +114,28 @@ def queries() -> dict:
         "pcm_scale": lambda s, d: signal.pcm_scale(audio(s, d)),
         "pre_emphasis": lambda s, d: signal.pre_emphasis(audio(s, d)),
         "frame_count": lambda s, d: signal.frame_count(audio(s, d)),
-        "frame_window": lambda s, d: cut(signal.frames(audio(s, d)), "v", digits=9),
+        "frame_window": lambda s, d: cut(signal.frames(audio_pieces(s, d)), "v", digits=9),
         "hamming_table": lambda s, d: cut(signal.hamming_table(s), "w", digits=9),
         "vad_energy": lambda s, d: cut(vad.energy(series(s, d), SHORT), "energy"),
         "noise_floor": lambda s, d: cut(vad.noise_floor(series(s, d), SHORT), "noise_floor"),
         "vad_flags": lambda s, d: vad.flags(series(s, d), SHORT).select("clip", "frame_idx", "speech"),
-        "vad_runs": lambda s, d: vad.runs(vad.flags(series(s, d), SHORT)).select("clip", "frame_idx", "speech", F.col("run").cast("long").alias("run")),
-        "vad_segments": _segments,
-        "segment_slice": lambda s, d: vad.segment_slice(series(s, d), _segments(s, d)),
-        "segment_concat": lambda s, d: vad.segment_concat(series(s, d), _segments(s, d)),
-        "dft_magnitude": lambda s, d: cut(long(signal.dft_magnitude(audio(s, d)), "mag", "k"), "v", digits=8),
+        "vad_runs": lambda s, d: vad.runs(vad.flagged(vad.energies(series(s, d), SHORT), SHORT), SHORT),
+        "vad_segments": lambda s, d: _segments(s, d).drop("before"),
+        "segment_slice": lambda s, d: vad.segment_slice(series(s, d), _segments(s, d), SHORT),
+        "segment_concat": _joined,
+        "dft_magnitude": lambda s, d: cut(long(signal.dft_magnitude(audio_pieces(s, d)), "mag", "k"), "v", digits=8),
         "mel_filterbank": lambda s, d: cut(signal.mel_filterbank(s), "w"),
-        "mel_log": lambda s, d: cut(long(signal.mel_log(audio(s, d)), "fbank", "mel"), "v"),
-        "fbank_cmvn": lambda s, d: cut(long(signal.fbank(audio(s, d)), "fbank", "mel"), "v"),
+        "mel_log": lambda s, d: cut(long(signal.mel_log(audio_pieces(s, d)), "fbank", "mel"), "v"),
+        "fbank_cmvn": lambda s, d: cut(long(signal.fbank(audio_pieces(s, d)), "fbank", "mel"), "v"),
         "clip_duration": lambda s, d: signal.frame_count(audio(s, d)).select("clip", metrics.duration_ms(F.col("n_samples")).alias("audio_ms")),
         "rtf_metrics": lambda s, d: signal.frame_count(audio(s, d)).select("clip", F.round(metrics.real_time_factor(F.col("n_frames").cast("double"), metrics.duration_ms(F.col("n_samples"))), 9).alias("rtf")),
         "error_label": lambda s, d: s.range(13).select(F.col("id").alias("code"), metrics.error_label(F.col("id")).alias("label")),
         "segment_counts": lambda s, d: vad.segment_counts(series(s, d), _segments(s, d)),
         "wav_roundtrip": _wav,
         "integrity_check": _integrity,
-        "recognize": lambda s, d: recognize(audio(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), FULL, gate=False),
-        "recognize_gated": lambda s, d: recognize(audio(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
-        "stage_times": lambda s, d: stage_times(audio(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
+        "recognize": lambda s, d: recognize(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), FULL, gate=False),
+        "recognize_gated": lambda s, d: recognize(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
+        "stage_times": lambda s, d: stage_times(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
         "vad_modes": _by_mode,
         "vad_session": lambda s, d: vad.flags(series(s, d), SHORT, scope="session").select("clip", "frame_idx", "speech"),
     }
