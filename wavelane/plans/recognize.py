@@ -27,15 +27,18 @@ class LinearScorer:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of rows of features; rounded so that the decision doesn't hang on the order of summation."""
+        return np.round(rows @ self.weights, 6)
+
     def score(self, features: DataFrame) -> DataFrame:
-        w = self.weights
+        of = self.of
 
         def run(batches):
             for b in batches:
                 if len(b):
                     x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-                    # Rounded so that the decision doesn't hang on the order of summation.
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(np.round(x @ w, 6)), pa.list_(pa.float64()))], ["clip", "t", "logits"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(of(x)), pa.list_(pa.float64()))], ["clip", "t", "logits"])
 
         kind = dict(features.dtypes)["clip"]
         return features.select("clip", "frame_idx", "fbank").mapInArrow(run, f"clip {kind}, t long, logits array<double>")

@@ -15,14 +15,16 @@ from .functions import metrics
 from .operators import blocks, decode, signal, vad
 from .plans.recognize import LinearScorer, recognize, stage_times
 from .profile import Profile
-from .shared import shared_path
+from .shared import shared_path, written
 from .sources.vocab import parse_vocab
 from .sources.wav import read_wav, write_wav
+from .streaming.recognize_stream import detector_states, drained, recognize_stream
 
 SHORT = Profile(vad_frame=4, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
 GATED = Profile(vad_frame=64, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
 FULL = Profile()
 VOCAB = "<blank>\r\n<unk>\n<sos>\n<eos>\n" + "".join(f"w{i} \n" for i in range(4, 64))
+TOKENS = VOCAB.replace("\r", "").split("\n")[:-1]
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -98,6 +100,31 @@ def _joined(spark, sf):
     return blocks.as_samples(blocks.as_blocks(vad.segment_concat(series(spark, sf), _segments(spark, sf), SHORT), size), size)
 
 
+def _chunks(spark, sf, ended: bool = True):
+    """The audio as a stream of chunks of 150 samples, over three spans of time or more: (stream, folder for its state)."""
+    chunks = blocks.as_blocks(audio_pieces(spark, sf), 150).withColumnRenamed("block", "seq")
+    last = chunks.groupBy("clip").agg(F.max("seq").alias("last"))
+    chunks = written(chunks.join(last, "clip").withColumn("is_end", F.lit(ended) & (F.col("seq") == F.col("last"))), "chunks")
+    source = shared_path(spark, "stream")
+    for part in range(3):  # files are read in order of time, four a trigger
+        chunks.where(F.floor(3 * F.col("seq") / (F.col("last") + 1)) == part).drop("last").repartition(4, "clip").write.mode("append").parquet(source)
+    return spark.readStream.schema(chunks.drop("last").schema).option("maxFilesPerTrigger", 4).parquet(source), shared_path(spark, "state")
+
+
+def _recognize_stream(spark, sf):
+    """The text of each clip at its end mark."""
+    stream, state = _chunks(spark, sf)
+    rows = drained(recognize_stream(stream, LinearScorer(WEIGHTS).of, TOKENS, GATED), shared_path(spark, "texts"), state)
+    return rows.where("final").select(F.col("clip").cast("int").alias("clip"), "text", "n_tokens")
+
+
+def _stream_state(spark, sf):
+    """The detectors' states after all chunks, without an end mark."""
+    stream, state = _chunks(spark, sf, ended=False)
+    drained(recognize_stream(stream, LinearScorer(WEIGHTS).of, TOKENS, GATED), shared_path(spark, "texts"), state)
+    return detector_states(spark, state, GATED).withColumn("clip", F.col("clip").cast("int"))
+
+
 WEIGHTS = np.array([[((m * 7 + v * 13) % 17 - 8) / 8.0 for v in range(64)] for m in range(80)])
 
 
@@ -136,6 +163,8 @@ def queries() -> dict:
         "recognize": lambda s, d: recognize(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), FULL, gate=False),
         "recognize_gated": lambda s, d: recognize(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
         "stage_times": lambda s, d: stage_times(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
+        "recognize_stream": _recognize_stream,
+        "stream_state": _stream_state,
         "vad_modes": _by_mode,
         "vad_session": lambda s, d: vad.flags(series(s, d), SHORT, scope="session").select("clip", "frame_idx", "speech"),
     }
@@ -251,6 +280,12 @@ def oracle_sql() -> dict[str, str]:
         "integrity_check": f"WITH {_AUDIO} SELECT count(*) AS n_samples, CAST(0 AS BIGINT) AS lost, true AS intact FROM audio",
         "recognize": _recognized(_FBANK),
         "recognize_gated": _recognized(_FBANK.replace(_AUDIO, _GATED)),
+        "recognize_stream": _recognized(_FBANK.replace(_AUDIO, _GATED)),
+        "stream_state": f"""WITH {_AUDIO.replace("audio AS (", "ser AS (")},{_flags(64)},
+lst AS (SELECT clip, max(frame_idx) AS frame_idx FROM la GROUP BY clip)
+SELECT clip, CASE WHEN state = 0 THEN 'silence' WHEN before = 0 THEN 'speech_start' ELSE 'speech' END AS state, CAST((frame_idx + 1) * 64 AS BIGINT) AS position,
+  CASE WHEN state = 0 AND speech THEN run ELSE 0 END AS consecutive_speech, CASE WHEN state = 1 AND NOT speech THEN run ELSE 0 END AS consecutive_silence
+FROM lst JOIN ed USING (clip, frame_idx) JOIN rn USING (clip, frame_idx)""",
         "vad_modes": f"WITH {_SERIES}" + "".join(f", m{m} AS (WITH {_flags(4, x).lstrip()} SELECT *, CAST({m} AS INTEGER) AS mode FROM seg)" for m, x in enumerate((4.0, 2.0, 4.0, 8.0))) + " SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3",
         "vad_session": f"""WITH {_FLAGS}, hd AS (SELECT clip, frame_idx, energy FROM en ORDER BY clip, frame_idx LIMIT 5)
 SELECT en.clip, en.frame_idx, hd.clip IS NULL AND (SELECT count(*) FROM hd) >= 5 AND en.energy > 1.0 * (SELECT avg(energy) FROM hd) AS speech
