@@ -1,0 +1,96 @@
+"""The way from samples to text in blocks: nothing hangs on where they begin, scorers see over borders, times add up."""
+
+from __future__ import annotations
+
+import os
+from dataclasses import replace
+
+import numpy as np
+import pytest
+
+from wavelane.operators import decode, signal
+from wavelane.plans.recognize import METRICS, FilterScorer, LinearScorer, LoadedScorer, kept_tokens, recognize, recognize_timed, score_blocks, stage_times
+from wavelane.profile import Profile
+
+P = Profile(frame=12, hop=4, n_fft=16, n_mels=5, vad_frame=4, calib_frames=4, start_frames=2, end_frames=3, factor=1.2, block=1)
+WEIGHTS = np.random.default_rng(4).normal(size=(5, 8)) * ([0.5] * 4 + [1.0] * 4)
+VOCAB = ["<blank>", "<unk>", "<sos>", "<eos>", *(f"t{i}" for i in range(4, 8))]
+
+
+def clips(spark, lengths=(0, 5, 30, 64, 301)):
+    rng = np.random.default_rng(1)
+    rows = [(c, (rng.integers(-3000, 3000, n) * np.repeat(rng.choice([0.2, 1, 5], n // 10 + 1), 10)[:n]).tolist()) for c, n in enumerate(lengths)]
+    return spark.createDataFrame(rows, "clip long, pcm array<double>")
+
+
+def vocab(spark):
+    return spark.createDataFrame(list(enumerate(VOCAB)), "token_id int, token string")
+
+
+@pytest.mark.parametrize("beam", [1, 3])
+def test_text_does_not_hang_on_blocks(spark, beam):
+    df, seen = clips(spark), []
+    for block in (1, 20):
+        p = replace(P, block=block, beam_size=beam)
+        scorer = FilterScorer([1.0, -2.0, 3.0], WEIGHTS)
+        seen.append({gate: sorted(map(tuple, recognize(df, scorer, vocab(spark), p, gate).collect())) for gate in ((True, False) if beam == 1 else (False,))})
+        # The same tokens as by the decoding of single steps.
+        steps = score_blocks(signal.fbank_blocks(df, p), scorer, p).collect()
+        rows = [(r["clip"], (r["block"] * max(1, -(-p.frame // 4), block // 4)) + i, r["logits"][8 * i : 8 * i + 8]) for r in steps for i in range(r["n"])]
+        plain = decode.decode(spark.createDataFrame(rows, "clip long, t long, logits array<double>"), vocab(spark), 0, beam).where("text <> ''")
+        assert sorted(map(tuple, plain.collect())) == [r for r in seen[-1][False] if r[1]]
+    assert seen[0] == seen[1] and all(any(r[1] for r in found) for found in seen[0].values()) and len(seen[0][False]) == 4  # a clip without samples has no row
+
+
+def test_context_reaches_over_borders(spark):
+    df = clips(spark, (301,))
+    small, large = replace(P, block=1), replace(P, block=65_536)
+    for taps in ([1.0, 2.0, 3.0, 2.0, 1.0], [0.0, 0.0, 1.0], [1.0]):
+        scorer, got = FilterScorer(taps, WEIGHTS), []
+        for p in (small, large):
+            rows = score_blocks(signal.fbank_blocks(df, p), scorer, p).orderBy("block").collect()
+            got.append(np.concatenate([np.array(r["logits"]).reshape(-1, 8) for r in rows]))
+        assert got[0] == pytest.approx(got[1], abs=2e-6)
+        whole = np.array([r["fbank"] for r in signal.fbank(df, large).orderBy("frame_idx").collect()])
+        padded = np.pad(whole, ((len(taps) // 2,) * 2, (0, 0)))
+        assert got[0] == pytest.approx(sum(h * padded[k : k + len(whole)] for k, h in enumerate(taps)) @ WEIGHTS, abs=2e-6)
+    with pytest.raises(ValueError, match="halo"):
+        score_blocks(signal.fbank_blocks(df, small), FilterScorer([1.0] * 99, WEIGHTS), small).collect()
+
+
+def test_models_load_once_a_worker(spark, tmp_path):
+    def load():
+        (tmp_path / f"{os.getpid()}-{os.urandom(4).hex()}").touch()
+        return LinearScorer(WEIGHTS).of
+
+    df = clips(spark, (301, 299, 500)).repartition(4)
+    a = sorted(map(tuple, recognize(df, LoadedScorer("test-model", load), vocab(spark), P, False).collect()))
+    assert a == sorted(map(tuple, recognize(df, LinearScorer(WEIGHTS), vocab(spark), P, False).collect()))
+    workers = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert workers and len(workers) == len(set(workers))
+
+
+def test_collapse_sees_the_step_before_a_block(spark):
+    p = replace(P, block=12)  # three steps a block
+    rows = [(1, 0, [4, 4, 0]), (1, 1, [4, 5, 5]), (1, 2, [5, 0, 0]), (1, 3, [0, 6]), (2, 0, [0])]
+    df = spark.createDataFrame(rows, "clip long, block long, tokens array<int>")
+    assert sorted(map(tuple, kept_tokens(df, p).collect())) == [(1, 0, 4), (1, 3, 4), (1, 4, 5), (1, 10, 6)]
+    assert len(kept_tokens(df, replace(p, beam_size=2)).collect()) == 7
+
+
+def test_measures(spark):
+    rows = recognize_timed(clips(spark), LinearScorer(WEIGHTS), vocab(spark), P).collect()
+    lengths = {1: 5, 2: 30, 3: 64, 4: 301}
+    assert {r["clip"]: r["audio_ms"] for r in rows} == {c: pytest.approx(n / 16) for c, n in lengths.items()}
+    for r in rows:
+        assert r["total_ms"] == pytest.approx(r["vad_ms"] + r["preprocess_ms"] + r["infer_ms"] + r["decode_ms"]) and r["rtf"] == pytest.approx(r["total_ms"] / r["audio_ms"])
+        assert r["vad_ms"] > 0 and (r["infer_ms"] > 0 and r["decode_ms"] > 0 and r["preprocess_ms"] > 0 or not r["text"])
+    (s,) = stage_times(clips(spark), LinearScorer(WEIGHTS), vocab(spark), P).collect()
+    assert s["audio_ms"] == pytest.approx(sum(lengths.values()) / 16) and s["rtf"] == pytest.approx(s["total_ms"] / s["audio_ms"])
+    (none,) = stage_times(clips(spark, (0,)), LinearScorer(WEIGHTS), vocab(spark), P).collect()
+    assert all(none[m] == 0 for m in METRICS)
+
+
+def test_no_window_over_a_clip(spark):
+    plan = recognize(clips(spark), LinearScorer(WEIGHTS), vocab(spark), P)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan

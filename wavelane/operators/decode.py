@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,14 @@ def argmax_tokens(logits: DataFrame, blank_id: int = 0, greedy: bool = True) ->
     return rows.select("clip", "t", best.alias("token_id"))
 
 
+def best_tokens(scores: np.ndarray, blank_id: int = 0, greedy: bool = True) -> np.ndarray:
+    """:func:`argmax_tokens` of an array, a row a step."""
+    best = np.where(np.isnan(scores), -np.inf, scores).argmax(1)
+    if greedy:
+        best[np.isnan(scores[:, 0]) | (best == 0)] = blank_id
+    return best.astype(np.int32)
+
+
 def ctc_collapse(tokens: DataFrame, blank_id: int = 0) -> DataFrame:
     """Drops blanks and repeats of the step before; blanks count as a step before, so a-blank-a gives a twice."""
     before = F.coalesce(F.lag("token_id").over(Window.partitionBy("clip").orderBy("t")), F.lit(blank_id))

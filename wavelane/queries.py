@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import metrics
 from .operators import blocks, decode, signal, vad
-from .plans.recognize import LinearScorer, recognize, stage_times
+from .plans.recognize import METRICS, FilterScorer, LinearScorer, recognize, recognize_timed, stage_times, token_blocks
 from .profile import Profile
 from .shared import shared_path, written
 from .sources.vocab import parse_vocab
@@ -23,6 +23,7 @@ from .streaming.recognize_stream import detector_states, drained, recognize_stre
 SHORT = Profile(vad_frame=4, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
 GATED = Profile(vad_frame=64, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
 FULL = Profile()
+NARROW = Profile(block=1_280)
 VOCAB = "<blank>\r\n<unk>\n<sos>\n<eos>\n" + "".join(f"w{i} \n" for i in range(4, 64))
 TOKENS = VOCAB.replace("\r", "").split("\n")[:-1]
 
@@ -125,6 +126,22 @@ def _stream_state(spark, sf):
     return detector_states(spark, state, GATED).withColumn("clip", F.col("clip").cast("int"))
 
 
+def _context_tokens(spark, sf):
+    """The best token of each frame by a scorer that looks two frames to either side; small blocks, so that it looks over their borders."""
+    tokens = token_blocks(signal.fbank_blocks(audio_pieces(spark, sf), NARROW), FilterScorer(TAPS, WEIGHTS), NARROW)
+    per_block = blocks.block_size(NARROW) // NARROW.hop
+    return tokens.select("clip", "block", F.posexplode("tokens").alias("i", "token_id")).select("clip", (F.col("block") * per_block + F.col("i")).cast("long").alias("t"), "token_id")
+
+
+def _clip_metrics(spark, sf):
+    """The seven measures of each clip, as far as they don't hang on the clock: its length, and that the others fit together."""
+    rows = recognize_timed(audio_pieces(spark, sf), LinearScorer(WEIGHTS), F.broadcast(vocab(spark)), GATED)
+    parts = F.col("vad_ms") + F.col("preprocess_ms") + F.col("infer_ms") + F.col("decode_ms")
+    every = F.array(*METRICS)
+    return rows.select("clip", "audio_ms", (F.size(F.filter(every, lambda x: x >= 0)) == len(METRICS)).alias("whole"), (F.abs(F.col("total_ms") - parts) < 1e-9).alias("total_is_sum"), (F.abs(F.col("rtf") - F.col("total_ms") / F.col("audio_ms")) < 1e-12).alias("rtf_is_rate"))
+
+
+TAPS = [1.0, 2.0, 3.0, 2.0, 1.0]
 WEIGHTS = np.array([[((m * 7 + v * 13) % 17 - 8) / 8.0 for v in range(64)] for m in range(80)])
 
 
@@ -165,6 +182,8 @@ def queries() -> dict:
         "stage_times": lambda s, d: stage_times(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
         "recognize_stream": _recognize_stream,
         "stream_state": _stream_state,
+        "context_tokens": _context_tokens,
+        "clip_metrics": _clip_metrics,
         "vad_modes": _by_mode,
         "vad_session": lambda s, d: vad.flags(series(s, d), SHORT, scope="session").select("clip", "frame_idx", "speech"),
     }
@@ -281,6 +300,11 @@ def oracle_sql() -> dict[str, str]:
         "recognize": _recognized(_FBANK),
         "recognize_gated": _recognized(_FBANK.replace(_AUDIO, _GATED)),
         "recognize_stream": _recognized(_FBANK.replace(_AUDIO, _GATED)),
+        "context_tokens": f"""WITH {_FBANK},
+smo AS (SELECT a.clip, a.frame_idx, a.mel, sum(b.v * (3 - abs(b.frame_idx - a.frame_idx))) AS v FROM cm a JOIN cm b ON b.clip = a.clip AND b.mel = a.mel AND abs(b.frame_idx - a.frame_idx) <= 2 GROUP BY ALL),
+lin AS (SELECT clip, frame_idx AS t, v.v AS token_id, round(sum(smo.v * (((mel * 7 + v.v * 13) % 17 - 8) / 8.0::DOUBLE)), 6) AS x FROM smo, (SELECT unnest(range(0, 64)) AS v) v GROUP BY ALL)
+SELECT clip, CAST(t AS BIGINT) AS t, CAST(arg_max(token_id, (x, -token_id)) AS INTEGER) AS token_id FROM lin GROUP BY clip, t""",
+        "clip_metrics": f"WITH {_EMPH} SELECT clip, n_samples * 1000.0::DOUBLE / 16000 AS audio_ms, true AS whole, true AS total_is_sum, true AS rtf_is_rate FROM sizes",
         "stream_state": f"""WITH {_AUDIO.replace("audio AS (", "ser AS (")},{_flags(64)},
 lst AS (SELECT clip, max(frame_idx) AS frame_idx FROM la GROUP BY clip)
 SELECT clip, CASE WHEN state = 0 THEN 'silence' WHEN before = 0 THEN 'speech_start' ELSE 'speech' END AS state, CAST((frame_idx + 1) * 64 AS BIGINT) AS position,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..operators.decode import SPECIAL
+from ..operators.decode import SPECIAL, best_tokens
 from ..operators.hysteresis import thresholds
 from ..operators.signal import hamming, log_mels
 from ..profile import Profile
@@ -83,11 +83,8 @@ DECODER = "last int, text string, n_tokens long"
 def decode(state: tuple, scores: np.ndarray, vocab: list[str], p: Profile) -> tuple:
     """Greedy decoding goes on: best token of each step, repeats and blanks dropped, special and unknown ones skipped."""
     last, text, n = state
-    clean = np.where(np.isnan(scores), -np.inf, scores)
-    best = clean.argmax(1)
-    best[np.isnan(scores[:, 0]) | (best == 0)] = p.blank_id
     words = []
-    for token in best.tolist():
+    for token in best_tokens(scores, p.blank_id).tolist():
         if token not in (p.blank_id, last) and token < len(vocab) and vocab[token] not in SPECIAL:
             words.append(vocab[token])
         last = token
