@@ -18,6 +18,7 @@ from .profile import Profile
 from .shared import shared_path, written
 from .sources.vocab import parse_vocab
 from .sources.wav import read_wav, write_wav
+from .sources.wav_blocks import read_wav_blocks
 from .streaming.recognize_stream import detector_states, drained, recognize_stream
 
 SHORT = Profile(vad_frame=4, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
@@ -71,12 +72,24 @@ def _segments(spark, sf):
     return vad.segments(series(spark, sf), SHORT)
 
 
-def _wav(spark, sf):
-    """Each clip written as a WAV file by the sink and read back by the source."""
+def _wav_files(spark, sf) -> str:
+    """The folder of the clips as WAV files, written by the sink."""
     clips = audio(spark, sf).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("pos", "sample"))).alias("s"))
     path = shared_path(spark, "wav")
     write_wav(clips.select(F.col("clip").cast("string").alias("name"), F.lit(16_000).alias("sample_rate"), F.col("s.sample").cast("array<smallint>").alias("pcm")), path)
-    rows = read_wav(spark, path).where("error IS NULL").withColumn("clip", F.regexp_extract("path", r"([^/]*)\.wav\z", 1).cast("int"))
+    return path
+
+
+def _wav_blocks(spark, sf):
+    """The files read in blocks of 500 samples, by tasks that each read 2,000 bytes of a file."""
+    rows = read_wav_blocks(spark, _wav_files(spark, sf), 500, 2_000).where("error IS NULL").withColumn("clip", F.regexp_extract("path", r"([^/]*)\.wav\z", 1).cast("int"))
+    each = rows.select("clip", "sample_rate", "block", F.posexplode("pcm").alias("i", "sample"))
+    return each.select("clip", "sample_rate", (F.col("block") * 500 + F.col("i")).cast("long").alias("pos"), F.col("sample").cast("long").alias("sample"))
+
+
+def _wav(spark, sf):
+    """Each clip written as a WAV file by the sink and read back by the source."""
+    rows = read_wav(spark, _wav_files(spark, sf)).where("error IS NULL").withColumn("clip", F.regexp_extract("path", r"([^/]*)\.wav\z", 1).cast("int"))
     return rows.select("clip", "sample_rate", F.posexplode("pcm").alias("pos", "sample")).select("clip", "sample_rate", F.col("pos").cast("long").alias("pos"), F.col("sample").cast("long").alias("sample"))
 
 
@@ -176,6 +189,7 @@ def queries() -> dict:
         "error_label": lambda s, d: s.range(13).select(F.col("id").alias("code"), metrics.error_label(F.col("id")).alias("label")),
         "segment_counts": lambda s, d: vad.segment_counts(series(s, d), _segments(s, d)),
         "wav_roundtrip": _wav,
+        "wav_blocks": _wav_blocks,
         "integrity_check": _integrity,
         "recognize": lambda s, d: recognize(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), FULL, gate=False),
         "recognize_gated": lambda s, d: recognize(audio_pieces(s, d), LinearScorer(WEIGHTS), F.broadcast(vocab(s)), GATED),
@@ -296,6 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "error_label": f"SELECT CAST(code AS BIGINT) AS code, label FROM (VALUES {_LABELS}) x(code, label)",
         "segment_counts": f"WITH {_FLAGS} SELECT c.clip, count(seg.seg_id) AS n_segments FROM (SELECT DISTINCT user_id AS clip FROM events) c LEFT JOIN seg ON seg.clip = c.clip GROUP BY c.clip",
         "wav_roundtrip": f"WITH {_AUDIO} SELECT clip, CAST(16000 AS INTEGER) AS sample_rate, pos, sample FROM audio",
+        "wav_blocks": f"WITH {_AUDIO} SELECT clip, CAST(16000 AS INTEGER) AS sample_rate, pos, sample FROM audio",
         "integrity_check": f"WITH {_AUDIO} SELECT count(*) AS n_samples, CAST(0 AS BIGINT) AS lost, true AS intact FROM audio",
         "recognize": _recognized(_FBANK),
         "recognize_gated": _recognized(_FBANK.replace(_AUDIO, _GATED)),

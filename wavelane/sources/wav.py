@@ -59,6 +59,12 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, CLIPS)
 
 
+def _filesystem(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+
+
 class WavSink(DataSource):
     """``df.write.format("wav_sink").save(path)`` for rows (name, sample_rate, pcm): one file each."""
 
@@ -76,22 +82,21 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Tasks write under names of their own; the driver gives the files of the attempts that counted their final names."""
+    """Tasks write under names of their own, in a folder of this job; the driver gives the files of the attempts that
+    counted their final names."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.own = path, f"_attempts-{uuid.uuid4().hex}"
 
     def _open(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path if ":" in self.path.split("/")[0] else f"file://{self.path}")
+        return _filesystem(self.path)
 
     def write(self, rows) -> WriterCommitMessage:
         system, root = self._open()
-        system.create_dir(f"{root}/_attempts", recursive=True)
+        system.create_dir(f"{root}/{self.own}", recursive=True)
         files = []
         for r in rows:
-            own = f"{root}/_attempts/{uuid.uuid4().hex}"
+            own = f"{root}/{self.own}/{uuid.uuid4().hex}"
             with system.open_output_stream(own, compression=None) as out:
                 out.write(encode_wav(np.array(r["pcm"], "<i2"), r["sample_rate"]))
             files.append((own, f"{root}/{r['name']}.wav"))
@@ -106,12 +111,15 @@ class _Writer(DataSourceWriter):
         for own, to in files:
             system.move(own, to)
         if files:
-            system.delete_dir(f"{root}/_attempts")
+            system.delete_dir(f"{root}/{self.own}")
 
     def abort(self, messages) -> None:
+        """Drops what the job's tasks wrote, failed attempts included."""
+        from pyarrow import fs
+
         system, root = self._open()
-        for own, _ in (f for m in messages if m for f in m.files):
-            system.delete_file(own)
+        if system.get_file_info(f"{root}/{self.own}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{root}/{self.own}")
 
 
 def write_wav(clips: DataFrame, path: str) -> None:
