@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .wav import _filesystem
 
@@ -66,7 +67,7 @@ class Span(InputPartition):
 
 
 class WavBlocks(DataSource):
-    """``spark.read.format("wav_blocks").option("path", folder_or_file)``; options ``block`` (samples) and ``span`` (bytes of a task)."""
+    """``spark.read.format("wav_blocks").option("path", folder_or_file)``; options: see :func:`read_wav_blocks`."""
 
     @classmethod
     def name(cls) -> str:
@@ -76,32 +77,21 @@ class WavBlocks(DataSource):
         return BLOCKS
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("block", 65_536)), int(self.options.get("span", 64 << 20)))
+        o = self.options
+        only = json.loads(o["only"]) if "only" in o else None
+        return _Reader(o["path"], int(o.get("block", 65_536)), int(o.get("span", 64 << 20)), only, int(o.get("first", 0)), int(o.get("last", 2**62)))
 
 
 class _Reader(DataSourceReader):
     """The driver lists names and sizes only. A span of a file gives the blocks that begin in it; the head of a file is
-    read by each of its tasks. Many small files share a span. Bounds on path and block are met here: files that are
-    not asked for aren't listed for a task, blocks that aren't are not read."""
-
-    def __init__(self, path: str, block: int, span: int):
-        self.path, self.block, self.span = path, block, span
-        self.wanted: set[str] | None = None
-        self.low, self.high = 0, 2**62
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            name = f.attribute if hasattr(f, "attribute") else None
-            if name == ("path",) and isinstance(f, EqualTo | In):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted = values if self.wanted is None else self.wanted & values
-            elif name == ("block",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    self.high = min(self.high, f.value - isinstance(f, LessThan))
-            else:
-                yield f
+    read by each of its tasks. Many small files share a span. Files and blocks that aren't asked for are not read.
+
+    Filters are not taken from Spark (``pushFilters``): it keeps what one query pushed for every later query on the same
+    DataFrame, so that these would miss rows (seen on version 4.1.2)."""
+
+    def __init__(self, path: str, block: int, span: int, only: list[str] | None = None, first: int = 0, last: int = 2**62):
+        self.path, self.block, self.span, self.low, self.high = path, block, span, first, last
+        self.wanted = None if only is None else set(only)
 
     def _files(self) -> Iterator[tuple[str, int]]:
         from pyarrow import fs
@@ -161,15 +151,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def read_wav_blocks(spark: SparkSession, path: str, block: int = 65_536, span: int = 64 << 20) -> DataFrame:
+def read_wav_blocks(spark: SparkSession, path: str, block: int = 65_536, span: int = 64 << 20, only: list[str] | None = None, first: int = 0, last: int | None = None) -> DataFrame:
     """(path, sample_rate, n_samples, block, pcm, error): the samples of every ``.wav`` file at or below ``path`` in blocks,
     which fit :func:`blocks.as_blocks` once ``path`` is named ``clip``. No task reads more than ``span`` bytes of a file
     and the block that begins last in them, so files may be as long as their format allows (4 GB).
 
-    A file that can't be read as WAV is one row with the reason in ``error``; one without samples has no row. Filters
-    on ``path`` (= and IN) and ``block`` (=, <, <=, >, >=) are met by the source, from when on the session allows it
-    (``spark.sql.python.filterPushdown.enabled``, which this sets). For stores that only Spark can open, see
-    :func:`wav.read_wav`."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ``only`` names the files to read (as in the column ``path``), ``first`` and ``last`` the blocks of each: no task is
+    made for other files, and other blocks aren't read. A file that can't be read as WAV is one row with the reason in
+    ``error``; one without samples has no row. For stores that only Spark can open, see :func:`wav.read_wav`."""
     spark.dataSource.register(WavBlocks)
-    return spark.read.format("wav_blocks").option("path", path).option("block", block).option("span", span).load()
+    reader = spark.read.format("wav_blocks").option("path", path).option("block", block).option("span", span).option("first", first)
+    if last is not None:
+        reader = reader.option("last", last)
+    if only is not None:
+        reader = reader.option("only", json.dumps(only))
+    return reader.load()
