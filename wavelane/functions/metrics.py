@@ -12,6 +12,8 @@ STATUS = {
     10: "CTC decode failed", 11: "Engine not initialized",
 }
 
+INVALID_AUDIO = 7
+
 
 def duration_ms(n_samples: Column, rate: int = 16_000) -> Column:
     return n_samples * 1000.0 / rate

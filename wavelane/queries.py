@@ -17,7 +17,7 @@ from .plans.recognize import METRICS, FilterScorer, LinearScorer, recognize, rec
 from .profile import Profile
 from .shared import shared_path, written
 from .sources.vocab import parse_vocab
-from .sources.wav import read_wav, write_wav
+from .sources.wav import parse_wav, read_wav, write_wav
 from .sources.wav_blocks import read_wav_blocks
 from .streaming.recognize_stream import detector_states, drained, recognize_stream
 
@@ -112,6 +112,39 @@ def _damage(spark, sf):
     return compare.compare(audio(spark, sf), _samples(read_wav(spark, path)).drop("sample_rate"), 512)
 
 
+def _vocabulary(spark, sf):
+    """How large the vocabulary is, and how it covers each clip's scores: best tokens that it lacks, and that are special."""
+    known = F.broadcast(vocab(spark)).withColumn("known", F.lit(1))
+    best = tokens(spark, sf).join(known, "token_id", "left").withColumn("size", F.lit(len(TOKENS)).cast("long"))
+    return best.groupBy("clip").agg(F.max("size").alias("n_tokens"), F.count("*").alias("n_steps"), (F.count("*") - F.count("known")).alias("n_unknown"), F.count_if(F.col("token").isin(*decode.SPECIAL)).alias("n_special"))
+
+
+def _windowed(spark, sf):
+    """The window's weights, and what they make of the frames' samples at each place: how many, and their mean square."""
+    at = signal.frames(audio_pieces(spark, sf)).groupBy("i").agg(F.count("*").alias("n"), F.avg(F.col("v") * F.col("v")).alias("power"))
+    return cut(at.join(signal.hamming_table(spark), "i").select("i", "w", "n", "power"), "w", "power", digits=9)
+
+
+def _filtered(spark, sf):
+    """The filters' weights, and how much each passes of the mean spectrum of all frames."""
+    mean = signal.dft_magnitude(audio_pieces(spark, sf)).select(F.posexplode("mag").alias("bin", "m")).groupBy("bin").agg(F.avg("m").alias("m"))
+    return cut(signal.mel_filterbank(spark).join(mean, "bin").select("mel", "bin", "w", (F.col("w") * F.col("m")).alias("passed")), "w", "passed", digits=7)
+
+
+def _statuses(spark, sf):
+    """Files of the clips, of which some are cut off within their head or say that they are stereo; each one's status."""
+    clips = audio_pieces(spark, sf).where("at = 0").select("clip", F.slice("pcm", 1, 20).cast("array<smallint>").alias("pcm")).withColumn("name", F.col("clip").cast("string"))
+    path = shared_path(spark, "wav")
+    write_wav(clips.select("name", F.lit(16_000).alias("sample_rate"), "pcm"), path)
+    whole = F.col("content")
+    clip = F.regexp_extract("path", r"([^/]*)\.wav\z", 1).cast("int")
+    stereo = F.concat(F.substring(whole, 1, 22), F.unhex(F.lit("0200")), F.expr("substring(content, 25)"))
+    damaged = F.when(clip % 3 == 1, F.substring(whole, 1, 30)).when(clip % 3 == 2, stereo).otherwise(whole)
+    files = parse_wav(spark.read.format("binaryFile").load(path).select("path", damaged.alias("content")))
+    code = F.when(F.col("error").isNull(), F.lit(0)).otherwise(F.lit(metrics.INVALID_AUDIO)).cast("long")
+    return files.select(clip.alias("clip"), code.alias("code"), metrics.error_label(code).alias("label"), F.coalesce(F.size("pcm"), F.lit(0)).alias("n"))
+
+
 def _by_mode(spark, sf):
     """Segments under each mode's factor, over energies that are worked out once."""
     measured, out = vad.energies(series(spark, sf), SHORT), None
@@ -178,14 +211,14 @@ def queries() -> dict:
         "ctc_collapse": lambda s, d: decode.ctc_collapse(tokens(s, d)),
         "vocab_lookup": lambda s, d: decode.vocab_lookup(tokens(s, d), F.broadcast(vocab(s))),
         "ctc_greedy": lambda s, d: decode.decode(logits(s, d), F.broadcast(vocab(s))),
-        "vocab_size": lambda s, d: vocab(s).agg(F.count("*").alias("n_tokens")),
+        "vocab_size": _vocabulary,
         "ctc_beam": lambda s, d: decode.decode(logits(s, d), F.broadcast(vocab(s)), beam_size=4),
         "token_topk": lambda s, d: decode.token_topk(logits(s, d)),
         "pcm_scale": lambda s, d: signal.pcm_scale(audio(s, d)),
         "pre_emphasis": lambda s, d: signal.pre_emphasis(audio(s, d)),
         "frame_count": lambda s, d: signal.frame_count(audio(s, d)),
         "frame_window": lambda s, d: cut(signal.frames(audio_pieces(s, d)), "v", digits=9),
-        "hamming_table": lambda s, d: cut(signal.hamming_table(s), "w", digits=9),
+        "hamming_table": _windowed,
         "vad_energy": lambda s, d: cut(vad.energy(series(s, d), SHORT), "energy"),
         "noise_floor": lambda s, d: cut(vad.noise_floor(series(s, d), SHORT), "noise_floor"),
         "vad_flags": lambda s, d: vad.flags(series(s, d), SHORT).select("clip", "frame_idx", "speech"),
@@ -194,12 +227,12 @@ def queries() -> dict:
         "segment_slice": lambda s, d: vad.segment_slice(series(s, d), _segments(s, d), SHORT),
         "segment_concat": _joined,
         "dft_magnitude": lambda s, d: cut(long(signal.dft_magnitude(audio_pieces(s, d)), "mag", "k"), "v", digits=8),
-        "mel_filterbank": lambda s, d: cut(signal.mel_filterbank(s), "w"),
+        "mel_filterbank": _filtered,
         "mel_log": lambda s, d: cut(long(signal.mel_log(audio_pieces(s, d)), "fbank", "mel"), "v"),
         "fbank_cmvn": lambda s, d: cut(long(signal.fbank(audio_pieces(s, d)), "fbank", "mel"), "v"),
         "clip_duration": lambda s, d: signal.frame_count(audio(s, d)).select("clip", metrics.duration_ms(F.col("n_samples")).alias("audio_ms")),
         "rtf_metrics": lambda s, d: signal.frame_count(audio(s, d)).select("clip", F.round(metrics.real_time_factor(F.col("n_frames").cast("double"), metrics.duration_ms(F.col("n_samples"))), 9).alias("rtf")),
-        "error_label": lambda s, d: s.range(13).select(F.col("id").alias("code"), metrics.error_label(F.col("id")).alias("label")),
+        "error_label": _statuses,
         "segment_counts": lambda s, d: vad.segment_counts(series(s, d), _segments(s, d)),
         "wav_roundtrip": _wav,
         "wav_blocks": _wav_blocks,
@@ -299,7 +332,8 @@ def oracle_sql() -> dict[str, str]:
         "ctc_collapse": f"WITH {_TOKENS} SELECT clip, t, token_id FROM col",
         "vocab_lookup": f"WITH {_TOKENS} SELECT clip, t, token FROM am JOIN voc USING (token_id) WHERE token_id > 3",
         "ctc_greedy": f"WITH {_TOKENS} {_text('col')}",
-        "vocab_size": f"WITH {_TOKENS} SELECT count(*) AS n_tokens FROM voc",
+        "vocab_size": f"""WITH {_TOKENS} SELECT clip, (SELECT count(*) FROM voc) AS n_tokens, count(*) AS n_steps, count(*) - count(voc.token_id) AS n_unknown, count(*) FILTER (am.token_id < 4) AS n_special
+FROM am LEFT JOIN voc ON voc.token_id = am.token_id GROUP BY clip""",
         "ctc_beam": f"WITH {_TOKENS} {_text('am')}",
         "token_topk": """SELECT clip, t, CAST(rank AS INTEGER) AS rank, token_id FROM (
   SELECT label AS clip, vec_id AS t, CAST(i - 1 AS INTEGER) AS token_id, row_number() OVER (PARTITION BY label, vec_id ORDER BY embedding[i] DESC, i) AS rank
@@ -308,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
         "pre_emphasis": f"WITH {_EMPH} SELECT clip, pos, y FROM emph",
         "frame_count": f"WITH {_EMPH} SELECT clip, n_samples, CAST(n_frames AS BIGINT) AS n_frames FROM sizes",
         "frame_window": f"WITH {_FRAMES} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, i, round(v, 9) + 0.0::DOUBLE AS v FROM frames",
-        "hamming_table": "SELECT CAST(i AS INTEGER) AS i, round(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 399), 9) AS w FROM (SELECT unnest(range(0, 400)) AS i)",
+        "hamming_table": f"WITH {_FRAMES} SELECT i, round(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * i / 399), 9) AS w, count(*) AS n, round(avg(v * v), 9) AS power FROM frames GROUP BY i",
         "vad_energy": f"WITH {_FLAGS} SELECT clip, frame_idx, round(energy, 6) AS energy FROM en",
         "noise_floor": f"WITH {_FLAGS} SELECT clip, CASE WHEN n >= 5 THEN round(f, 6) END AS noise_floor FROM fl",
         "vad_flags": f"WITH {_FLAGS} SELECT clip, frame_idx, speech FROM sp",
@@ -317,12 +351,13 @@ def oracle_sql() -> dict[str, str]:
         "segment_slice": f"WITH {_FLAGS} SELECT s.clip, seg_id, pos, sample FROM ser s JOIN seg ON seg.clip = s.clip AND pos >= start_sample AND pos < end_sample",
         "segment_concat": f"WITH {_FLAGS} SELECT s.clip, row_number() OVER (PARTITION BY s.clip ORDER BY pos) - 1 AS pos, sample FROM ser s JOIN seg ON seg.clip = s.clip AND pos >= start_sample AND pos < end_sample",
         "dft_magnitude": f"WITH {_DFT} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(k AS INTEGER) AS k, round(mag, 8) + 0.0::DOUBLE AS v FROM dft",
-        "mel_filterbank": f"WITH {_MEL} SELECT CAST(mel AS INTEGER) AS mel, CAST(bin AS INTEGER) AS bin, round(w, 6) AS w FROM bank",
+        "mel_filterbank": f"WITH {_DFT}, {_MEL}, mn AS (SELECT k, avg(mag) AS m FROM dft GROUP BY k) SELECT CAST(mel AS INTEGER) AS mel, CAST(bin AS INTEGER) AS bin, round(w, 7) AS w, round(w * m, 7) AS passed FROM bank JOIN mn ON mn.k = bank.bin",
         "mel_log": f"WITH {_FBANK} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(mel AS INTEGER) AS mel, round(v, 6) + 0.0::DOUBLE AS v FROM fb",
         "fbank_cmvn": f"WITH {_FBANK} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(mel AS INTEGER) AS mel, round(v, 6) + 0.0::DOUBLE AS v FROM cm",
         "clip_duration": f"WITH {_EMPH} SELECT clip, n_samples * 1000.0::DOUBLE / 16000 AS audio_ms FROM sizes",
         "rtf_metrics": f"WITH {_EMPH} SELECT clip, round(n_frames / (n_samples * 1000.0::DOUBLE / 16000), 9) AS rtf FROM sizes",
-        "error_label": f"SELECT CAST(code AS BIGINT) AS code, label FROM (VALUES {_LABELS}) x(code, label)",
+        "error_label": f"""SELECT clip, CAST(x.code AS BIGINT) AS code, label, CAST(CASE WHEN x.code = 0 THEN 20 ELSE 0 END AS INTEGER) AS n
+FROM (SELECT DISTINCT label AS clip, CASE WHEN label % 3 = 0 THEN 0 ELSE 7 END AS c FROM embeddings) JOIN (VALUES {_LABELS}) x(code, label) ON code = c""",
         "segment_counts": f"WITH {_FLAGS} SELECT c.clip, count(seg.seg_id) AS n_segments FROM (SELECT DISTINCT user_id AS clip FROM events) c LEFT JOIN seg ON seg.clip = c.clip GROUP BY c.clip",
         "wav_roundtrip": f"WITH {_AUDIO} SELECT clip, CAST(16000 AS INTEGER) AS sample_rate, pos, sample FROM audio",
         "wav_blocks": f"WITH {_AUDIO} SELECT clip, CAST(16000 AS INTEGER) AS sample_rate, pos, sample FROM audio",

@@ -43,7 +43,11 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     """One row per file. Spark's own reader lists and reads the files; tasks parse them. A file that can't be read as
     WAV has its reason in ``error``, and neither rate nor samples."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parse_wav(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def parse_wav(files: DataFrame) -> DataFrame:
+    """:func:`read_wav` of files that are there as (path, content)."""
 
     def parsed(content: bytes) -> tuple:
         try:
