@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from heapq import heappop, heappush
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decode import vocab_lookup
-from .scan import fold
+from .scan import by_key, fold
 
 #: Steps that meet in one task first.
 STRETCH = 1024
@@ -53,23 +52,19 @@ def hypotheses(logits: DataFrame, vocab: DataFrame, k: int, blank_id: int = 0) -
     each = F.transform("logits", lambda x, i: F.struct((-score(x)).alias("s"), i.alias("token")))
     top = logits.select("clip", F.col("t").cast("long").alias("t"), F.slice(F.array_sort(each), 1, k).alias("top")).withColumn("block", F.floor(F.col("t") / STRETCH))
     kind = dict(top.dtypes)["clip"]
-    change = pa.struct([("t", pa.int64()), ("rank", pa.int32()), ("token", pa.int32())])
-    found = pa.list_(pa.struct([("loss", pa.float64()), ("changes", pa.list_(change))]))
     pack = lambda hs: [{"loss": loss, "changes": [dict(zip(("t", "rank", "token"), c, strict=True)) for c in changes]} for loss, changes in hs]
     unpack = lambda hs: [(h["loss"], tuple((c["t"], c["rank"], c["token"]) for c in h["changes"])) for h in hs]
 
-    def stretch(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("t").to_pylist()
+    def stretch(rows: list[tuple]) -> list[tuple]:
         base, kept = 0.0, [(0.0, ())]
-        for r in rows:
-            scores = [-x["s"] for x in r["top"]]
+        for _, t, ranked, _ in rows:
+            scores = [-x["s"] for x in ranked]
             base += scores[0] if scores else 0.0
-            ways = [(s - scores[0], ((r["t"], i, r["top"][i]["token"]),) if i else ()) for i, s in enumerate(scores) if not i or s > float("-inf")]
+            ways = [(s - scores[0], ((t, i, ranked[i]["token"]),) if i else ()) for i, s in enumerate(scores) if not i or s > float("-inf")]
             kept = merge(kept, ways, k)
-        own = {"clip": t.column("clip").slice(0, 1).combine_chunks(), "block": pa.array([rows[0]["block"]], pa.int64()), "base": pa.array([base]), "found": pa.array([pack(kept)], found)}
-        return pa.Table.from_pydict(own)
+        return [(rows[0][0], rows[0][3], base, pack(kept))]
 
-    stretches = top.groupBy("clip", "block").applyInArrow(stretch, f"clip {kind}, block long, base double, found array<struct<loss: double, changes: array<struct<t: long, rank: int, token: int>>>>")
+    stretches = by_key(top, ["clip", "block"], ["t"], f"clip {kind}, block long, base double, found array<struct<loss: double, changes: array<struct<t: long, rank: int, token: int>>>>", stretch)
     best = fold(stretches, lambda a, b: (a[0] + b[0], pack(merge(unpack(a[1]), unpack(b[1]), k))))
     listed = best.select("clip", "base", F.posexplode("found").alias("i", "h")).select("clip", (F.col("i") + 1).cast("int").alias("rank"), (F.col("base") + F.col("h.loss")).alias("score"), "h.changes")
     # Each hypothesis goes over the steps' best tokens with its few changes beside.
