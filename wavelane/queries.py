@@ -145,6 +145,13 @@ def _statuses(spark, sf):
     return files.select(clip.alias("clip"), code.alias("code"), metrics.error_label(code).alias("label"), F.coalesce(F.size("pcm"), F.lit(0)).alias("n"))
 
 
+def _rates(spark, sf):
+    """Each event as a request that took so many milliseconds for a frame of audio: each user's audio, time and rate."""
+    sums = read(spark, sf, "events").groupBy(F.col("user_id").alias("clip")).agg(metrics.duration_ms(F.count("*") * FULL.vad_frame).alias("audio_ms"), F.sum(F.abs("value")).alias("total_ms"))
+    rates = sums.withColumn("rtf", metrics.real_time_factor(F.col("total_ms"), F.col("audio_ms")))
+    return cut(cut(rates, "total_ms"), "rtf", digits=9)
+
+
 def _by_mode(spark, sf):
     """Segments under each mode's factor, over energies that are worked out once."""
     measured, out = vad.energies(series(spark, sf), SHORT), None
@@ -231,7 +238,7 @@ def queries() -> dict:
         "mel_log": lambda s, d: cut(long(signal.mel_log(audio_pieces(s, d)), "fbank", "mel"), "v"),
         "fbank_cmvn": lambda s, d: cut(long(signal.fbank(audio_pieces(s, d)), "fbank", "mel"), "v"),
         "clip_duration": lambda s, d: signal.frame_count(audio(s, d)).select("clip", metrics.duration_ms(F.col("n_samples")).alias("audio_ms")),
-        "rtf_metrics": lambda s, d: signal.frame_count(audio(s, d)).select("clip", F.round(metrics.real_time_factor(F.col("n_frames").cast("double"), metrics.duration_ms(F.col("n_samples"))), 9).alias("rtf")),
+        "rtf_metrics": _rates,
         "error_label": _statuses,
         "segment_counts": lambda s, d: vad.segment_counts(series(s, d), _segments(s, d)),
         "wav_roundtrip": _wav,
@@ -355,7 +362,8 @@ FROM am LEFT JOIN voc ON voc.token_id = am.token_id GROUP BY clip""",
         "mel_log": f"WITH {_FBANK} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(mel AS INTEGER) AS mel, round(v, 6) + 0.0::DOUBLE AS v FROM fb",
         "fbank_cmvn": f"WITH {_FBANK} SELECT clip, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(mel AS INTEGER) AS mel, round(v, 6) + 0.0::DOUBLE AS v FROM cm",
         "clip_duration": f"WITH {_EMPH} SELECT clip, n_samples * 1000.0::DOUBLE / 16000 AS audio_ms FROM sizes",
-        "rtf_metrics": f"WITH {_EMPH} SELECT clip, round(n_frames / (n_samples * 1000.0::DOUBLE / 16000), 9) AS rtf FROM sizes",
+        "rtf_metrics": """SELECT user_id AS clip, count(*) * 320 * 1000.0::DOUBLE / 16000 AS audio_ms, round(sum(abs(value)), 6) AS total_ms, round(sum(abs(value)) / (count(*) * 320 * 1000.0::DOUBLE / 16000), 9) AS rtf
+FROM events GROUP BY user_id""",
         "error_label": f"""SELECT clip, CAST(x.code AS BIGINT) AS code, label, CAST(CASE WHEN x.code = 0 THEN 20 ELSE 0 END AS INTEGER) AS n
 FROM (SELECT DISTINCT label AS clip, CASE WHEN label % 3 = 0 THEN 0 ELSE 7 END AS c FROM embeddings) JOIN (VALUES {_LABELS}) x(code, label) ON code = c""",
         "segment_counts": f"WITH {_FLAGS} SELECT c.clip, count(seg.seg_id) AS n_segments FROM (SELECT DISTINCT user_id AS clip FROM events) c LEFT JOIN seg ON seg.clip = c.clip GROUP BY c.clip",
