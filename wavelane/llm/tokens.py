@@ -66,7 +66,7 @@ class Encoder:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.symbols = {i: as_bytes(chr(i))[0][0] for i in [32, *range(65, 91), *range(97, 123), *range(0xC0, 0x250)]}
         self.lead = self.symbols[32] if self.kind == "blank_leads" else ""
-        self.words, self.runs, self.tails = Memo(self._word, 500_000), Memo(self._run, 200_000), Memo(self._whole, 50_000)
+        self.words, self.runs, self.tails = Memo(self._word, 500_000), Memo(self._run, 350_000), Memo(self._whole, 50_000)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -80,9 +80,7 @@ class Encoder:
         letters = word.rstrip(_TAIL)
         if not _LETTERS.fullmatch(letters):
             return self._whole(" " + word if self.lead else word)
-        if len(letters) < len(word):
-            return self.runs[letters] + self.tails[word[len(letters) :]]
-        return self.runs.get(letters) or self._run(letters)  # the word itself is kept, so its run needn't be
+        return self.runs[letters] + self.tails[word[len(letters) :]] if len(letters) < len(word) else self.runs[letters]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.added and any(map(self.added.search, texts)):
