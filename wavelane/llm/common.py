@@ -7,11 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of characters that are neither blanks nor \t \n \v \f \r.
@@ -50,6 +50,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, label: str, task_rows: int = 200_000) -> DataFrame:
+    """Like :func:`written`, read back in no more partitions than ``task_rows`` rows each ask for. A table of few rows is
+    one partition, which is grouped and joined without a shuffle; the rows are counted while they are written."""
+    seen, path = Observation(), fresh_path(df.sparkSession, label)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    parts = max(1, -(-seen.get["rows"] // task_rows))
+    return df.sparkSession.read.schema(df.schema).parquet(path).coalesce(parts)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` has at most ``rows`` rows and ``size`` bytes; the second is summed only if the first holds."""
     if df.count() > rows:
@@ -109,21 +118,3 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) ->
         held.append(t.slice(start))
     if held and len(whole := pa.concat_tables(held)) >= least:
         yield whole
-
-
-class WordMemo:
-    """What ``make`` gives for each of a list of words, kept for the words met lately.
-
-    The memo is emptied when it holds ``limit`` words: memory stays bounded, results don't depend on it."""
-
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 600_000):
-        self.make, self.limit, self.known = make, limit, {}
-
-    def of(self, lists: list[list]) -> dict:
-        """A dict that holds every word of ``lists``."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*lists) if w not in known]
-        self.known.update(zip(new, self.make(new), strict=True))
-        return self.known
