@@ -13,8 +13,10 @@ _JOINED_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
 #: Letters that NFC leaves alone and that have one lower-case letter: Latin up to U+024F, without the dotted capital I.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-_TAIL = "!?.,;:#*$%&|()[]{}\"+-/=<>@^_~"
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+_TAIL = re.escape("!?.,;:#*$%&|()[]{}\"+-/=<>@^_~")
+#: Letters and the punctuation after them, and the same once more on the next line.
+_WORD = re.compile(f"({_LETTERS})([{_TAIL}]*)(?:\n({_LETTERS})([{_TAIL}]*))?")
 
 
 class Memo(dict):
@@ -36,8 +38,8 @@ class Encoder:
     Texts are encoded word by word where the tokenizer file shows that words are independent of each other:
     either its pre-tokenizer drops white space, or a piece begins at each blank. A worker keeps the ids of the words
     it met lately. Of a new word, a run of Latin letters is one piece for these pre-tokenizers and goes straight to
-    the tokenizer's BPE model, and so does what punctuation follows; any other word is encoded by the whole
-    tokenizer. Other tokenizers, and texts with runs of white space that a piece may span, are encoded whole.
+    the tokenizer's BPE model, and so does what punctuation follows, also over a line break, which is a piece of its
+    own between them; any other word is encoded by the whole tokenizer. Other tokenizers, and texts with runs of white space that a piece may span, are encoded whole.
 
     With ``literal`` the name of an added token in a text is text like any other; else it is that token, as the
     library has it, and a text that holds one is encoded whole."""
@@ -67,20 +69,30 @@ class Encoder:
         self.symbols = {i: as_bytes(chr(i))[0][0] for i in [32, *range(65, 91), *range(97, 123), *range(0xC0, 0x250)]}
         self.lead = self.symbols[32] if self.kind == "blank_leads" else ""
         self.words, self.runs, self.tails = Memo(self._word, 500_000), Memo(self._run, 350_000), Memo(self._whole, 50_000)
+        self.starts = Memo(self._letters, 50_000)  # runs that no blank leads
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, letters: str) -> bytes:
+        return self._letters(letters, self.lead)
+
+    def _letters(self, letters: str, lead: str = "") -> bytes:
         if self.kind == "blank_dropped":
             letters = letters.lower()
-        return array("I", [t.id for t in self.model.tokenize(self.lead + letters.translate(self.symbols))]).tobytes()
+        if not letters.isascii():  # ASCII letters stand for themselves
+            letters = letters.translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(lead + letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        letters = word.rstrip(_TAIL)
-        if not _LETTERS.fullmatch(letters):
+        m = _WORD.fullmatch(word)
+        if not m:
             return self._whole(" " + word if self.lead else word)
-        return self.runs[letters] + self.tails[word[len(letters) :]] if len(letters) < len(word) else self.runs[letters]
+        letters, tail, more, last = m.groups()
+        out = self.runs[letters] + self.tails[tail] if tail else self.runs[letters]
+        if more:
+            out += self.tails["\n"] + self.starts[more] + (self.tails[last] if last else b"")
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.added and any(map(self.added.search, texts)):
