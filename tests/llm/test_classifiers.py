@@ -326,3 +326,13 @@ def test_cosine_equals_numpy(spark):
 def test_native_plans_hold_no_python(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_grams_equal_slices_and_long_urls_cost_their_length(spark):
+    rows = [("ab\U0001f600c.de", "/x\ny"), ("", ""), ("h", "/" + "a1-" * 300_000)]
+    df = spark.createDataFrame(rows, "host string, path string")
+    got = df.select("host", "path", urls.grams(F.col("host"), F.col("path")).alias("g")).collect()
+    for r in got[:2]:
+        want = [m + t[i : i + n] for m, t in (("h", f"^{r.host}$"), ("p", f"^{r.path}$")) for n in (3, 4, 5) for i in range(len(t) - n + 1)]
+        assert r.g == want
+    assert len(got[2].g) == 1 + 3 * (900_001 + 3) - 12

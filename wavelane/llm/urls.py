@@ -51,7 +51,8 @@ def grams(host, path, sizes: tuple[int, ...] = (3, 4, 5)) -> F.Column:
 
     def of(mark: str, text: F.Column) -> list[F.Column]:
         t = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in sizes]
+        # One pass a size: the look-ahead takes a gram, the match itself one character.
+        return [F.transform(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), lambda g: F.concat(F.lit(mark), g)) for n in sizes]
 
     return F.concat(*of("h", host), *of("p", path))
 
