@@ -147,6 +147,16 @@ def test_streamed_text_equals_batch(spark, tmp_path):
     assert detector_states(spark, str(tmp_path / "state"), Q).count() == 0  # nothing is kept of clips that ended
 
 
+def test_a_trigger_costs_one_row_and_one_state_a_clip(spark, tmp_path):
+    """However many chunks a clip has: texts of every chunk would grow with their square."""
+    xs = {c: noise(c, 240) for c in (1, 2)}
+    rows = [(c, k, xs[c][3 * k : 3 * k + 3], k == 79, False, k) for c in xs for k in range(80)]
+    got = run(spark, tmp_path, [[r for r in rows if r[1] // 30 == t] for t in range(3)])
+    assert [(r[0], r[1], r[4]) for r in got] == [(c, k, k == 79) for c in xs for k in (29, 59, 79)]
+    assert {r[0]: r[2:4] for r in got if r[4]} == batch_text(spark, xs, LinearScorer(WEIGHTS))
+    assert any(r[2] for r in got)
+
+
 def test_missing_end_mark_and_states(spark, tmp_path):
     """A clip that stops arriving ends by event time, with the text of what there was; another one goes on."""
     xs, rng = noise(1, 300), random.Random(1)

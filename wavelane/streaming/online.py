@@ -26,8 +26,8 @@ def detect(state: tuple, samples: np.ndarray, ends: bool, p: Profile) -> tuple[t
     n = len(x) // p.vad_frame
     out, kept = [], [np.asarray(held, float)] if len(held) else []
     size = sum(map(len, kept))
-    for frame in x[: n * p.vad_frame].reshape(n, p.vad_frame):
-        energy = float((frame**2).mean())
+    full = x[: n * p.vad_frame].reshape(n, p.vad_frame)
+    for frame, energy in zip(full, (full**2).mean(1).tolist(), strict=True):
         now = 0
         if frames < p.calib_frames:
             calibration += energy

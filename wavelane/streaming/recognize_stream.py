@@ -20,8 +20,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class Recognizer(StatefulProcessor):
-    """State of a clip in variables of their own, so that a trigger rewrites no more than it changes: where the chunks
-    are, detector, framer, decoder, the features' moments, and a list of feature blocks that only grows.
+    """State of a clip in variables of their own: where the chunks are, detector, framer, decoder, the features' moments,
+    and a list of feature blocks that only grows. A trigger reads and writes them once a clip and joins its chunks to
+    blocks of ``Profile.block`` samples, so that the number of chunks costs next to nothing.
 
     The text of a finished clip needs the moments of all its features, so features are kept until then; they are scored
     block by block, and the state is dropped. Until then the text is provisional: under the moments so far."""
@@ -41,19 +42,28 @@ class Recognizer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seq, timer = self.place.get() if self.place.exists() else (-1, -1)
         out, latest = [], timer - self.timeout_ms if timer >= 0 else -1
+        held, waiting, size = None, [], 0
         # A trigger's chunks of a clip; how many that are, its rate limit says.
         for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
             if r.reset:
                 self._forget()
-                seq = r.seq
+                seq, held, waiting, size = r.seq, None, [], 0
             elif r.seq > seq:  # else delivered again
                 seq = r.seq
                 latest = max(latest, int(r.ms))
-                text, n = self._take(np.asarray(r.pcm if r.pcm is not None else [], float), bool(r.is_end))
-                out.append((key[0], seq, text, n, bool(r.is_end)))
+                held = held or self._held()
+                waiting.append(np.asarray(r.pcm if r.pcm is not None else [], float))
+                size += len(waiting[-1])
                 if r.is_end:
+                    out.append((key[0], seq, *self._take(held, np.concatenate(waiting), True), True))
                     self._forget()
-                    seq = -1
+                    seq, held, waiting, size = -1, None, [], 0
+                elif size >= self.p.block:
+                    self._take(held, np.concatenate(waiting), False)
+                    waiting, size = [], 0
+        if held:
+            out.append((key[0], seq, *self._take(held, np.concatenate([*waiting, np.zeros(0)]), False), False))
+            self._keep(held)
         if timer >= 0:
             self.handle.deleteTimer(timer)
         timer = latest + self.timeout_ms if self.timeout_ms is not None and self.detector.exists() else -1
@@ -69,34 +79,38 @@ class Recognizer(StatefulProcessor):
         """The end mark is missing: the clip ends with what there is."""
         seq, _ = self.place.get()
         if self.detector.exists():
-            text, n = self._take(np.zeros(0), True)
+            text, n = self._take(self._held(), np.zeros(0), True)
             self._forget()
             self.place.clear()
             yield _rows([(key[0], seq, text, n, True)])
         else:
             yield _rows([])
 
-    def _take(self, samples: np.ndarray, ends: bool) -> tuple[str, int]:
+    def _held(self) -> list:
+        """Detector, framer, moments and decoder as the last trigger left them."""
+        none = (online.QUIET, online.FRESH, (0, 0.0, 0.0), (self.p.blank_id, "", 0))
+        return [v.get() if v.exists() else x for v, x in zip((self.detector, self.framer, self.moments, self.decoder), none, strict=True)]
+
+    def _keep(self, held: list) -> None:
+        for v, x in zip((self.detector, self.framer, self.moments, self.decoder), held, strict=True):
+            v.update(x)
+
+    def _take(self, held: list, samples: np.ndarray, ends: bool) -> tuple[str, int]:
+        """The text after ``samples``, and its tokens; ``held`` goes on in place."""
         p = self.p
-        state, speech = online.detect(self.detector.get() if self.detector.exists() else online.QUIET, samples, ends, p)
-        self.detector.update(state)
-        text = self.decoder.get() if self.decoder.exists() else (p.blank_id, "", 0)
-        if len(speech):
-            state, rows = online.frame(self.framer.get() if self.framer.exists() else online.FRESH, speech, p)
-            self.framer.update(state)
-            if len(rows):
-                held = merged(self.moments.get() if self.moments.exists() else (0, 0.0, 0.0), moments(rows))
-                self.moments.update(held)
-                self.features.appendValue((rows.tobytes(),))
-                if not ends:
-                    text = online.decode(text, self._scores(rows, held), self.vocab, p)
-                    self.decoder.update(text)
+        held[0], speech = online.detect(held[0], samples, ends, p)
+        held[1], rows = online.frame(held[1], speech, p)
+        if len(rows):
+            held[2] = merged(held[2], moments(rows))
+            self.features.appendValue((rows.tobytes(),))
+            if not ends:
+                held[3] = online.decode(held[3], self._scores(rows, held[2]), self.vocab, p)
+        text = held[3]
         if ends:
             text = (p.blank_id, "", 0)
-            if self.moments.exists():
-                held = self.moments.get()
+            if held[2][0]:
                 for (block,) in self.features.get():
-                    text = online.decode(text, self._scores(np.frombuffer(block).reshape(-1, p.n_mels), held), self.vocab, p)
+                    text = online.decode(text, self._scores(np.frombuffer(block).reshape(-1, p.n_mels), held[2]), self.vocab, p)
         return text[1], text[2]
 
     def _scores(self, rows: np.ndarray, held: tuple) -> np.ndarray:
@@ -116,12 +130,12 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
 
 
 def recognize_stream(chunks: DataFrame, score, vocab: list[str], p: Profile = Profile(), timeout: str | None = None) -> DataFrame:
-    """Chunks of clips to text as it stands after each: clip, seq, text, n_tokens, final. Append mode.
+    """Chunks of clips to text as it stands after each trigger: clip, seq, text, n_tokens, final. Append mode.
 
     ``chunks``: clip, seq (order of a clip's chunks, from 0; one delivered again before the end is passed over), pcm (an array of any length,
     null: none), is_end, and optionally ``reset`` (the clip's state is dropped and a new clip begins with the next chunk)
     and ``ts`` with a watermark. With an end mark the row is final and has the text of the batch plan for all samples
-    since the start or the last reset; else it is provisional. With ``timeout`` (like "30 seconds") a clip without chunks
+    since the start or the last reset; a clip that goes on has one provisional row a trigger, after its last chunk there. With ``timeout`` (like "30 seconds") a clip without chunks
     for so long, by event time, ends there. ``score`` maps features (a row a frame) to scores.
 
     Chunks of a clip come in order from trigger to trigger; within one they are sorted. Run it under :func:`state_store`."""
