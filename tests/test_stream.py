@@ -12,9 +12,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wavelane import queries as speech
 from wavelane.operators import hysteresis, vad
 from wavelane.plans.recognize import LinearScorer, recognize
 from wavelane.profile import Profile
+from wavelane.shared import shared_path
 from wavelane.streaming import online
 from wavelane.streaming.recognize_stream import detector_states, drained, recognize_stream
 from wavelane.streaming.vad_stream import vad_stream
@@ -157,6 +159,18 @@ def test_a_trigger_costs_one_row_and_one_state_a_clip(spark, tmp_path):
     assert any(r[2] for r in got)
 
 
+def test_files_of_a_stream_are_bounded_and_in_order(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(speech, "CHUNKS", 2)
+    paths = []
+    monkeypatch.setattr(speech, "shared_path", lambda spark, label: paths.append(shared_path(spark, label)) or paths[-1])
+    got = sorted(map(tuple, speech._recognize_stream(spark, sf).collect()))
+    want = speech.recognize(speech.audio_pieces(spark, sf), LinearScorer(speech.WEIGHTS), F.broadcast(speech.vocab(spark)), speech.GATED)
+    assert got == sorted(map(tuple, want.collect()))
+    sizes = spark.read.parquet(paths[0]).groupBy(F.input_file_name()).count()
+    assert sizes.agg(F.max("count")).first()[0] == 2
+
+
 def test_missing_end_mark_and_states(spark, tmp_path):
     """A clip that stops arriving ends by event time, with the text of what there was; another one goes on."""
     xs, rng = noise(1, 300), random.Random(1)

@@ -25,6 +25,7 @@ SHORT = Profile(vad_frame=4, calib_frames=5, start_frames=2, end_frames=3, facto
 GATED = Profile(vad_frame=64, calib_frames=5, start_frames=2, end_frames=3, factor=1.0)
 FULL = Profile()
 NARROW = Profile(block=1_280)
+CHUNKS = 20_000  # of 150 samples, in a file of the stream
 VOCAB = "<blank>\r\n<unk>\n<sos>\n<eos>\n" + "".join(f"w{i} \n" for i in range(4, 64))
 TOKENS = VOCAB.replace("\r", "").split("\n")[:-1]
 
@@ -169,12 +170,13 @@ def _joined(spark, sf):
 
 def _chunks(spark, sf, ended: bool = True):
     """The audio as a stream of chunks of 150 samples, over three spans of time or more: (stream, folder for its state)."""
-    chunks = blocks.as_blocks(audio_pieces(spark, sf), 150).withColumnRenamed("block", "seq")
+    chunks = written(blocks.as_blocks(audio_pieces(spark, sf), 150).withColumnRenamed("block", "seq"), "chunks")
     last = chunks.groupBy("clip").agg(F.max("seq").alias("last"))
-    chunks = written(chunks.join(last, "clip").withColumn("is_end", F.lit(ended) & (F.col("seq") == F.col("last"))), "chunks")
+    chunks = chunks.join(last, "clip").withColumn("is_end", F.lit(ended) & (F.col("seq") == F.col("last")))
     source = shared_path(spark, "stream")
-    for part in range(3):  # files are read in order of time, four a trigger
-        chunks.where(F.floor(3 * F.col("seq") / (F.col("last") + 1)) == part).drop("last").repartition(4, "clip").write.mode("append").parquet(source)
+    for part in range(3):  # files are read in order of time, four a trigger; a task writes its own in order of seq
+        span = chunks.where(F.floor(3 * F.col("seq") / (F.col("last") + 1)) == part).drop("last")
+        span.repartition(4, "clip").sortWithinPartitions("seq").write.option("maxRecordsPerFile", CHUNKS).mode("append").parquet(source)
     return spark.readStream.schema(chunks.drop("last").schema).option("maxFilesPerTrigger", 4).parquet(source), shared_path(spark, "state")
 
 
