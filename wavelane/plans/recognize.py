@@ -144,8 +144,13 @@ def recognize_timed(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Pro
 
 
 def recognize(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Profile = Profile(), gate: bool = True) -> DataFrame:
-    """(clip, text, n_tokens); see :func:`recognize_timed`."""
-    return recognize_timed(samples, scorer, vocab, p, gate).select("clip", "text", "n_tokens")
+    """(clip, text, n_tokens); see :func:`recognize_timed`. With ``gate`` a whole clip without samples is one without
+    speech, as in the stream: it has the empty text, but no measures and so no row there."""
+    out = recognize_timed(samples, scorer, vocab, p, gate).select("clip", "text", "n_tokens")
+    if gate and "pcm" in samples.columns and not {"at", "block"} & set(samples.columns):
+        silent = samples.where(F.coalesce(F.size("pcm"), F.lit(0)) <= 0)
+        out = out.unionByName(silent.select("clip", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_tokens")))
+    return out
 
 
 def stage_times(samples: DataFrame, scorer: Scorer, vocab: DataFrame, p: Profile = Profile()) -> DataFrame:
