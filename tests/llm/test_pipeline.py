@@ -8,6 +8,7 @@ import corpus_pipeline
 from wavelane.llm import mixing, pii, quality, queries, similarity
 from wavelane.llm.common import table, written
 from wavelane.llm.packing import token_pieces
+from wavelane.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +72,27 @@ def test_run_fills_sequences(spark):
         filled[r["sequence_id"]] = r["offset"] + r["length"]
     assert rows
     assert max(filled.values()) <= 1024
+
+
+def test_workers_memory_is_small(spark):
+    """Each text goes to the quality rules once, and packing keeps few words."""
+    docs = spark.createDataFrame([(1, "a b c " * 5, "en", "x"), (2, None, None, "y")], "doc_id long, text string, lang string, source string")
+    got = quality.signals(docs, ("text", "source"))
+    assert got.columns[-2:] == ["text", "source"] and sorted((r["doc_id"], r["text"], r["source"], r["n_words"]) for r in got.collect()) == [(1, "a b c " * 5, "x", 15), (2, None, "y", 0)]
+    path = queries.tokenizer("byte_bpe_50k.json")
+    few, many = Encoder(path, literal=False, keep=3), Encoder(path, literal=False)
+    texts = [f"Words like w{i % 7}, Worda\nwordb; {'xyz'[: i % 4]} end" for i in range(40)]
+    assert few.encode(texts) == many.encode(texts)
+    assert all(len(m) <= 3 for m in (few.words, few.runs, few.tails, few.starts))
+
+
+def test_quality_stage_sends_each_text_once(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sent = []
+    before, quality.signals = quality.signals, lambda d, keep=(): sent.append(d.select(*{"text", *keep}).schema.simpleString().count("text:")) or before(d, keep)
+    try:
+        kept = corpus_pipeline.quality_stage(spark, docs, sf)
+    finally:
+        quality.signals = before
+    assert sent == [1] and kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() > 0

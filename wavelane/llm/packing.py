@@ -45,17 +45,18 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False, keep: int = 500_000) -> DataFrame:
     """Cuts each document's ids (its text's, then ``end_id``) into pieces of ``capacity`` and a rest.
 
     Null text: empty, so one piece with the end id. Null doc_id: stays null. Repeated rows: pieces of their own;
-    ``nth`` numbers rows of equal doc_id and ids (``doc_crc32`` of all of them) within a task. ``with_ids`` adds the ids themselves as column ``ids`` (unsigned 32-bit, little-endian)."""
+    ``nth`` numbers rows of equal doc_id and ids (``doc_crc32`` of all of them) within a task. ``with_ids`` adds the ids themselves as column ``ids`` (unsigned 32-bit, little-endian).
+    ``keep``: how many words' ids a worker keeps, for time against memory."""
     schema = PIECES + ", doc_crc32 long, nth long" + (", ids binary" if with_ids else "")
     arrow = pa.schema([(c.split()[0], pa.binary() if "binary" in c else pa.int64()) for c in schema.split(", ")])
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, met = encoder(tokenizer).encode, Counter()
+        encode, met = encoder(tokenizer, keep).encode, Counter()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, texts in batches_of(batch.column(1)):
@@ -73,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, wi
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = 2048, seed: int = 7, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = 2048, seed: int = 7, with_ids: bool = False, keep: int = 500_000) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset`` there; a sequence has no gaps.
 
     Documents are dealt at random (by a seeded hash of doc_id, ids and a number for rows that repeat each other, so that
@@ -83,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     ignored."""
     groups = max(1, -(-docs.count() // group_docs))
     key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_crc32", "doc_tokens", "nth"), F.lit(groups))
-    pieces = token_pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("group", key).drop("doc_crc32", "nth")
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, with_ids, keep).withColumn("group", key).drop("doc_crc32", "nth")
 
     def place(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

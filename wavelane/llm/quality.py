@@ -61,17 +61,17 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def signals(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The counts of :func:`measure` for every whole text; null text: empty. ``keep`` are columns carried along."""
-    spec = docs.select(F.col("doc_id").cast("long"), "text", *keep).schema
-    schema = ", ".join([BASE, *(f"`{f.name}` {f.dataType.simpleString()}" for f in spec if f.name in keep)])
+    """The counts of :func:`measure` for every whole text; null text: empty. ``keep`` are columns carried along, the text too if it is one of them; it goes to Python once."""
+    sent = docs.select(F.col("doc_id").cast("long"), "text", *(k for k in keep if k != "text"))
+    schema = ", ".join([BASE, *(f"`{k}` {sent.schema[k].dataType.simpleString()}" for k in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in BASE.split(", ")][1:]
         for batch in batches:
             found = np.array([measure(t.as_py() or "") for t in batch.column(1)], np.int64).reshape(len(batch), len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(names))), *batch.columns[2:]], ["doc_id", *names, *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(names))), *(batch.column(k) for k in keep)], ["doc_id", *names, *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

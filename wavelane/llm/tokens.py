@@ -42,9 +42,9 @@ class Encoder:
     own between them; any other word is encoded by the whole tokenizer. Other tokenizers, and texts with runs of white space that a piece may span, are encoded whole.
 
     With ``literal`` the name of an added token in a text is text like any other; else it is that token, as the
-    library has it, and a text that holds one is encoded whole."""
+    library has it, and a text that holds one is encoded whole. At most ``keep`` words are kept, and as many runs."""
 
-    def __init__(self, path: str, literal: bool = True):
+    def __init__(self, path: str, literal: bool = True, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -68,8 +68,8 @@ class Encoder:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.symbols = {i: as_bytes(chr(i))[0][0] for i in [32, *range(65, 91), *range(97, 123), *range(0xC0, 0x250)]}
         self.lead = self.symbols[32] if self.kind == "blank_leads" else ""
-        self.words, self.runs, self.tails = Memo(self._word, 500_000), Memo(self._run, 350_000), Memo(self._whole, 50_000)
-        self.starts = Memo(self._letters, 50_000)  # runs that no blank leads
+        self.words, self.runs, self.tails = Memo(self._word, keep), Memo(self._run, min(keep, 350_000)), Memo(self._whole, min(keep, 50_000))
+        self.starts = Memo(self._letters, min(keep, 50_000))  # runs that no blank leads
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -117,6 +117,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = 500_000) -> Encoder:
     """One encoder for each file and Python worker, equal to the library's own encoding."""
-    return Encoder(path, literal=False)
+    return Encoder(path, literal=False, keep=keep)
